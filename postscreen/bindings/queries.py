@@ -17,7 +17,7 @@ from postscreen.operators import bayes, errors, features, linear, metrics, ordin
 from postscreen.operators.dedup import keep_first
 from postscreen.operators.union import union_sources
 from postscreen.plans import datasets, training
-from postscreen.session import new_table_path
+from postscreen.session import new_table_path, spread
 from postscreen.sources import models, posts
 
 LABEL = datasets.LABEL
@@ -34,15 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for work on their texts."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def posts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, with its label where it has one."""
     labels = table(spark, sf_dir, "labels").withColumnRenamed("toxic", LABEL)
-    return table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    return documents(spark, sf_dir).join(labels, "doc_id", "left")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").withColumnRenamed("toxic", LABEL)
-    return table(spark, sf_dir, "documents").join(labels, "doc_id")
+    return documents(spark, sf_dir).join(labels, "doc_id")
 
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +67,7 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(label == 3, "maybe")
         .otherwise("0")
     )
-    return table(spark, sf_dir, "documents").withColumns({"text": text, LABEL: raw})
+    return documents(spark, sf_dir).withColumns({"text": text, LABEL: raw})
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,13 +131,13 @@ def strip_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def emoji_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("doc_id") % 3
     text = F.when(kind == 0, F.concat(F.lit(MIXED), "text", F.lit(MIXED))).otherwise(F.col("text"))
-    df = table(spark, sf_dir, "documents").select("doc_id", remove_emoji(text).alias("text"))
+    df = documents(spark, sf_dir).select("doc_id", remove_emoji(text).alias("text"))
     return df.select("doc_id", F.length("text").alias("length"), F.md5("text").alias("digest"))
 
 
 def first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return keep_first(documents, ["text"], ["doc_id"]).select("doc_id", "lang", "source", "n_chars")
+    rows = table(spark, sf_dir, "documents")
+    return keep_first(rows, ["text"], ["doc_id"]).select("doc_id", "lang", "source", "n_chars")
 
 
 def first_of_each_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,19 +160,19 @@ def dedup_then_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return report.head(documents, ["doc_id"], 20)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return report.head(rows, ["doc_id"], 20)
 
 
 def with_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return ordinal.with_ordinal(documents, ["n_chars", "doc_id"])
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return ordinal.with_ordinal(rows, ["n_chars", "doc_id"])
 
 
 def number_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id")
+    rows = table(spark, sf_dir, "documents").select("doc_id")
     return (
-        ordinal.number_parts(documents, ["doc_id"], 500)
+        ordinal.number_parts(rows, ["doc_id"], 500)
         .groupBy("part")
         .agg(
             F.count(F.lit(1)).alias("rows"),
@@ -260,8 +265,8 @@ def split_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id")
-    return sampling.split(documents, "doc_id", exact=True)
+    rows = table(spark, sf_dir, "documents").select("doc_id")
+    return sampling.split(rows, "doc_id", exact=True)
 
 
 def oversample_even(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +292,7 @@ def shuffle_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id",
         F.size(words).alias("n_tokens"),
         F.md5(F.concat_ws(" ", words)).alias("digest"),
@@ -305,8 +310,8 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = features.build_vocab(_train_side(spark, sf_dir), "text")
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = features.encode(documents, "text", words, "doc_id")
+    texts = documents(spark, sf_dir).select("doc_id", "text")
+    coded = features.encode(texts, "text", words, "doc_id")
     return coded.select(
         "doc_id",
         F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("ids"),
@@ -320,7 +325,7 @@ def _bayes(spark: SparkSession, sf_dir: str, fold_case: bool = True) -> bayes.Na
 
 def _bayes_scores(spark: SparkSession, sf_dir: str, fold_case: bool = True) -> DataFrame:
     model = _bayes(spark, sf_dir, fold_case)
-    return bayes.score(model, table(spark, sf_dir, "documents"), "doc_id", "text")
+    return bayes.score(model, documents(spark, sf_dir), "doc_id", "text")
 
 
 def nb_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,8 +371,8 @@ def error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lr_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = linear.fit_lr(_train_side(spark, sf_dir), "text", LABEL, max_iter=20)
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linear.score_lr(model, documents).select("doc_id", "p1", "pred")
+    texts = documents(spark, sf_dir).select("doc_id", "text")
+    return linear.score_lr(model, texts).select("doc_id", "p1", "pred")
 
 
 def meta_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,8 +393,8 @@ def length_model() -> Callable:
 
 
 def external_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scores = linear.score_external(documents, "text", length_model)
+    texts = documents(spark, sf_dir).select("doc_id", "text")
+    scores = linear.score_external(texts, "text", length_model)
     return scores.select("doc_id", F.round("p1", 6).alias("p1"), "pred")
 
 
@@ -439,9 +444,9 @@ def build_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts on both sides: with the raw table split again, and with one prepared table."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn(LABEL, F.lit(0))
-    data = datasets.prepare(documents, "doc_id", balance=None)
-    raw_val = sampling.split(documents, "doc_id").filter("side = 'val'")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn(LABEL, F.lit(0))
+    data = datasets.prepare(rows, "doc_id", balance=None)
+    raw_val = sampling.split(rows, "doc_id").filter("side = 'val'")
     cases = {"split_again": raw_val, "split_once": data.val}
     counts = [
         errors.leaked(data.train, val, "text").agg(
@@ -479,8 +484,8 @@ def tolerant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parts_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "parts")
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    posts.write_parts(documents, path, ["doc_id"], 500, "documents")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    posts.write_parts(rows, path, ["doc_id"], 500, "documents")
     back = spark.read.schema("doc_id long, lang string, documents_part long").csv(path, header=True)
     return back.groupBy(F.col("documents_part").alias("part")).agg(
         F.count(F.lit(1)).alias("rows"),
@@ -499,7 +504,7 @@ def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "model")
     models.save_model(spark, _bayes(spark, sf_dir), path)
     model = models.load_model(spark, path)
-    scores = bayes.score(model, table(spark, sf_dir, "documents"), "doc_id", "text")
+    scores = bayes.score(model, documents(spark, sf_dir), "doc_id", "text")
     return scores.select("doc_id", "pred", F.round("p1", 6).alias("p1"))
 
 

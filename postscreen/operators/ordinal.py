@@ -24,7 +24,8 @@ def with_ordinal(
     ``MAX_RANGES``, so that table is broadcast.
     """
     spark = df.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if ranges is None:
+        ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not 0 < ranges <= MAX_RANGES:
         raise ValueError(f"ranges must be between 1 and {MAX_RANGES}")
     keys = [F.col(f"`{c}`") for c in order_by]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postscreen.session import materialise
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows per value, most frequent first; missing values are not counted. Ties go by value."""
@@ -55,9 +57,10 @@ def box_summary(df: DataFrame, column: str) -> DataFrame:
 
     Quartiles interpolate linearly; whiskers end at the last frequency within 1.5 interquartile
     ranges of the box; ``n_outliers`` counts the classes beyond. Works on the histogram of
-    frequencies, which stays small however many classes there are.
+    frequencies, which stays small however many classes there are and is written once, so that
+    the table is read in one pass.
     """
-    histogram = _count_histogram(df, column)
+    histogram = materialise(_count_histogram(df, column), "frequencies")
     low, high, q1, median, q3 = _fences(histogram)
     inside = F.col("v").between(low, high)
     return histogram.agg(

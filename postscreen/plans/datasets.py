@@ -103,10 +103,17 @@ def clean_texts(
     lowercase: bool = False,
     null_text: str = "",
 ) -> DataFrame:
-    """Fill missing texts, optionally lower-case, drop blank ones, keep the first of each."""
+    """Fill missing texts, optionally lower-case, drop blank ones, keep the first of each.
+
+    Blank texts go by exploding an array that is empty for them. A filter would be moved below the
+    expressions that make the text, such as emoji removal, which would then run once for the test
+    and once more for the result.
+    """
     filled = fill_text(F.col(text), null_text)
-    filled_df = df.withColumn(text, F.lower(filled) if lowercase else filled)
-    return keep_first(drop_blank(filled_df, text), [text], order_by)
+    if lowercase:
+        filled = F.lower(filled)
+    kept = df.withColumn(text, F.explode(F.filter(F.array(filled), not_blank)))
+    return keep_first(kept, [text], order_by)
 
 
 @dataclass(frozen=True)

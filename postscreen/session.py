@@ -55,3 +55,13 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows spread by ``key`` when the scan has fewer tasks than the session has cores.
+
+    A Parquet file with a single row group is read by one task, which would also do all work on
+    its texts. A table of many files is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
