@@ -380,19 +380,19 @@ def meta_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.train_stacked(data, "doc_id").scores
 
 
-def length_model() -> Callable:
+def external_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in for an outside model: longer posts are likelier to be of class 1."""
 
-    def predict(texts):
+    # Local, so that it reaches the workers by value and they need not have this package.
+    def length_model() -> Callable:
         import numpy as np
 
-        lengths = np.array([len(t) for t in texts], dtype="float64")
-        return 1.0 / (1.0 + np.exp(-(lengths - 1500.0) / 1000.0))
-
-    return predict
+        def predict(texts):
+            lengths = np.array([len(t) for t in texts], dtype="float64")
+            return 1.0 / (1.0 + np.exp(-(lengths - 1500.0) / 1000.0))
 
+        return predict
 
-def external_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = documents(spark, sf_dir).select("doc_id", "text")
     scores = linear.score_external(texts, "text", length_model)
     return scores.select("doc_id", F.round("p1", 6).alias("p1"), "pred")
