@@ -445,7 +445,7 @@ def build_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts on both sides: with the raw table split again, and with one prepared table."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn(LABEL, F.lit(0))
-    data = datasets.prepare(rows, "doc_id", balance=None)
+    data = datasets.prepare(rows, "doc_id", mode=None)
     raw_val = sampling.split(rows, "doc_id").filter("side = 'val'")
     cases = {"split_again": raw_val, "split_once": data.val}
     counts = [

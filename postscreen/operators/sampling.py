@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,8 +22,8 @@ from postscreen.session import materialise
 _PREFIX = 4
 # Sixty bits of a hash, enough that a remainder of it is even over any class size.
 _INDEX_DIGITS = 15
-# Rows that one row is turned into at most at a time.
-_BLOCK = 1_000_000
+# Rows that one row is turned into at a time.
+_BLOCK = 10_000
 
 
 def seeded_hash(key: str, seed: int | str) -> Column:
@@ -98,14 +99,57 @@ def _cutoffs(
     )
 
 
+@dataclass(frozen=True)
+class Balanced:
+    """A table with ``copies``: how often each row must occur for all classes to be of equal size.
+
+    A model that takes weights can use the column as it is, instead of reading a text as often as
+    it is repeated.
+    """
+
+    weighted: DataFrame
+    # Whether some rows are needed so often that their copies should be made by many tasks.
+    heavy: bool
+
+    def repeated(self) -> DataFrame:
+        """Each row as often as its ``copies`` says, numbered from 1 by ``copy``."""
+        df = self.weighted
+        if not self.heavy:
+            return _repeat(df, None)
+        often = F.col("copies") > _BLOCK
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return _repeat(df.filter(~often), None).unionByName(_repeat(df.filter(often), tasks))
+
+
+def _repeat(df: DataFrame, tasks: int | None) -> DataFrame:
+    """Two nested explodes, so that no array is longer than a block; with ``tasks`` the blocks of
+    a row are spread over that many."""
+    blocks = df.withColumn("_block", F.explode(F.expr(f"sequence(0L, (copies - 1L) div {_BLOCK})")))
+    if tasks is not None:
+        blocks = blocks.repartition(tasks)
+    copy = F.explode(
+        F.expr(f"sequence(_block * {_BLOCK} + 1, least((_block + 1) * {_BLOCK}, copies))")
+    )
+    return blocks.withColumn("copy", copy).drop("copies", "_block")
+
+
 def oversample(
     df: DataFrame, label: str, key: str, seed: int = 42, mode: str = "even"
 ) -> DataFrame:
     """Raise every class to the size of the largest by repeating rows; every original stays.
 
-    Adds ``copy``, counted from 1 per original. ``even`` repeats all rows of a class equally often,
-    give or take one; ``bootstrap`` draws the repeats with replacement. Rows without a label are
-    left as they are.
+    Adds ``copy``, counted from 1 per original. See ``balance`` for the modes.
+    """
+    return balance(df, label, key, seed, mode).repeated()
+
+
+def balance(
+    df: DataFrame, label: str, key: str, seed: int = 42, mode: str = "even"
+) -> Balanced:
+    """How often each row must occur for every class to be as large as the largest.
+
+    ``even`` repeats all rows of a class equally often, give or take one; ``bootstrap`` draws the
+    repeats with replacement. Rows without a label occur once.
     """
     if mode not in ("even", "bootstrap"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -114,31 +158,13 @@ def oversample(
     )
     cells = materialise(_histogram(hashed, [label]), "classes")
     classes = cells.groupBy(label).agg(F.sum("_n").alias("_size"))
-    sizes = classes.agg(F.max("_size").alias("max"), F.min("_size").alias("min")).first()
-    largest = sizes["max"] or 0
+    sizes = classes.agg(F.max("_size").alias("most"), F.min("_size").alias("least")).first()
+    largest = sizes["most"] or 0
     if mode == "even":
-        copies = _even_copies(df, hashed, cells, classes, label, key, seed, largest)
+        weighted = _even_copies(df, hashed, cells, classes, label, key, seed, largest)
     else:
-        copies = _drawn_copies(df, hashed, classes, label, key, seed, largest)
-    if largest <= _BLOCK * (sizes["min"] or 1):
-        return _repeat(copies, None)
-    # Some rows are needed very often: their copies are made in blocks by many tasks.
-    often = F.col("_copies") > _BLOCK
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _repeat(copies.filter(~often), None).unionByName(_repeat(copies.filter(often), ranges))
-
-
-def _repeat(df: DataFrame, ranges: int | None) -> DataFrame:
-    """``_copies`` rows for every row, numbered by ``copy``, without an array longer than a block."""
-    blocks = df.withColumn(
-        "_block", F.explode(F.expr(f"sequence(0L, (_copies - 1L) div {_BLOCK})"))
-    )
-    if ranges is not None:
-        blocks = blocks.repartition(ranges)
-    copy = F.explode(
-        F.expr(f"sequence(_block * {_BLOCK} + 1, least((_block + 1) * {_BLOCK}, _copies))")
-    )
-    return blocks.withColumn("copy", copy).drop("_copies", "_block")
+        weighted = _drawn_copies(df, hashed, classes, label, key, seed, largest)
+    return Balanced(weighted, heavy=largest > _BLOCK * (sizes["least"] or 1))
 
 
 def _even_copies(
@@ -166,8 +192,8 @@ def _even_copies(
     times = F.coalesce(F.col("_times"), F.lit(1)).cast("long")
     return (
         join_small(df, materialise(plan, "copies"), [label], spread=key)
-        .withColumn("_copies", times + F.coalesce(extra, F.lit(False)).cast("long"))
-        .select(*[F.col(f"`{c}`") for c in df.columns], "_copies")
+        .withColumn("copies", times + F.coalesce(extra, F.lit(False)).cast("long"))
+        .select(*[F.col(f"`{c}`") for c in df.columns], "copies")
     )
 
 
@@ -218,8 +244,8 @@ def _drawn_copies(
     extra = ranked.join(hits, [label, "_rank"]).select(key, "_hits")
     return (
         df.join(extra, key, "left")
-        .withColumn("_copies", F.lit(1).cast("long") + F.coalesce("_hits", F.lit(0)))
-        .select(*[F.col(f"`{c}`") for c in df.columns], "_copies")
+        .withColumn("copies", F.lit(1).cast("long") + F.coalesce("_hits", F.lit(0)))
+        .select(*[F.col(f"`{c}`") for c in df.columns], "copies")
     )
 
 

@@ -17,7 +17,7 @@ from postscreen.functions import (
     remove_emoji,
 )
 from postscreen.operators.dedup import keep_first
-from postscreen.operators.sampling import oversample, split
+from postscreen.operators.sampling import Balanced, balance, split
 from postscreen.operators.union import union_sources
 from postscreen.session import materialise
 from postscreen.sources.posts import require_columns
@@ -118,9 +118,14 @@ def clean_texts(
 
 @dataclass(frozen=True)
 class Prepared:
-    """Training data: ``table`` is the cleaned set with its ``side``, written once."""
+    """Training data.
+
+    ``table`` is the cleaned set with its ``side``. ``weighted`` is the training side with the
+    number of ``copies`` that balances the classes, ``train`` the same with the copies made.
+    """
 
     table: DataFrame
+    weighted: DataFrame
     train: DataFrame
     val: DataFrame
 
@@ -135,20 +140,22 @@ def prepare(
     frac: float = 0.2,
     seed: int = 42,
     exact: bool = False,
-    balance: str | None = "even",
+    mode: str | None = "even",
 ) -> Prepared:
     """Clean, split once, and balance the training side.
 
-    The cleaned set is written to the shared folder with its side, so that training, scoring and
-    error analysis all see the same split and none repeats the de-duplication. ``balance`` is a
-    mode of ``oversample`` or None; the balanced side has the extra column ``copy``.
+    The cleaned set is written to the shared folder, so that training, scoring and error analysis
+    all see the same rows and none repeats the de-duplication. The side is a function of the key
+    alone and is not written. ``mode`` is one of ``balance``, or None for one copy each.
     """
-    cleaned = clean_texts(df.select(key, text, label), [key], text, lowercase, null_text)
-    if exact:
-        cleaned = materialise(cleaned, "cleaned")
-    table = materialise(split(cleaned, key, frac, seed, exact), "prepared")
+    cleaned = materialise(
+        clean_texts(df.select(key, text, label), [key], text, lowercase, null_text), "cleaned"
+    )
+    table = split(cleaned, key, frac, seed, exact)
     train = table.filter(F.col("side") == "train").drop("side")
     val = table.filter(F.col("side") == "val").drop("side")
-    if balance is not None:
-        train = oversample(train, label, key, seed, balance)
-    return Prepared(table, train, val)
+    if mode is None:
+        balanced = Balanced(train.withColumn("copies", F.lit(1).cast("long")), heavy=False)
+    else:
+        balanced = balance(train, label, key, seed, mode)
+    return Prepared(table, balanced.weighted, balanced.repeated(), val)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postscreen.functions import remove_emoji
+from postscreen.operators import bayes
 from postscreen.operators.errors import leaked
 from postscreen.operators.report import value_counts
 from postscreen.plans import datasets, training
@@ -87,7 +88,17 @@ def test_prepare(posts):
     counts = {r["depressive"]: r["count"] for r in data.train.groupBy("depressive").count().collect()}
     assert counts[0] == counts[1]
     assert leaked(data.train, data.val, "text").count() == 0
-    assert datasets.prepare(posts, "id", balance=None).train.columns == ["id", "text", "depressive"]
+    single = datasets.prepare(posts, "id", mode=None)
+    assert single.train.count() == single.weighted.count()
+    assert set(single.train.columns) == {"id", "text", "depressive", "copy"}
+
+
+def test_weights_stand_for_copies(posts):
+    data = datasets.prepare(posts, "id")
+    repeated = bayes.fit_nb(data.train, "text", "depressive")
+    weighted = bayes.fit_nb(data.weighted, "text", "depressive", weight="copies")
+    assert weighted.log_prior == repeated.log_prior == (0.0,)
+    assert rows(weighted.weights.select("token", "w")) == rows(repeated.weights.select("token", "w"))
 
 
 @pytest.mark.parametrize("kind", ["bayes", "linear"])
@@ -117,7 +128,7 @@ def test_stacking(posts, in_sample):
 
 def test_unknown_kind(posts):
     with pytest.raises(ValueError):
-        training.train(datasets.Prepared(posts, posts, posts), "id", "other")
+        training.train(datasets.Prepared(posts, posts, posts, posts), "id", "other")
 
 
 def test_stateless_steps_also_run_on_a_stream(spark, edge, tmp_path):
