@@ -4,6 +4,7 @@ from postscreen.functions.labels import is_valid_label, parse_label, presence_fl
 from postscreen.functions.text import (
     NA_VALUES,
     fill_text,
+    first_tokens,
     missing_to_null,
     not_blank,
     remove_emoji,
@@ -14,6 +15,7 @@ from postscreen.functions.text import (
 __all__ = [
     "NA_VALUES",
     "fill_text",
+    "first_tokens",
     "is_valid_label",
     "missing_to_null",
     "not_blank",

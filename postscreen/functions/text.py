@@ -120,3 +120,12 @@ def tokens(text: Column, fold: bool = True) -> Column:
     return F.regexp_extract_all(
         F.lower(source) if fold else source, F.lit("[\\p{L}]+"), F.lit(0)
     )
+
+
+def first_tokens(text: Column, n: int, fold: bool = True) -> Column:
+    """The first ``n`` of ``tokens``, without looking for tokens in the rest of the text."""
+    source = F.coalesce(text, F.lit(""))
+    # At most n + 1 separators are looked for. The first piece is empty when the text starts with
+    # one, and the last of n + 2 pieces is the uncut rest.
+    pieces = F.split(F.lower(source) if fold else source, "\\P{L}+", n + 2)
+    return F.slice(F.array_remove(F.slice(pieces, 1, n + 1), ""), 1, n)

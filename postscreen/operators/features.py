@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postscreen.functions.text import tokens
+from postscreen.functions.text import first_tokens, tokens
 
 # Ids of the special tokens, and the longest token that gets an id of its own.
 PAD, UNKNOWN, START, END = 0, 1, 2, 3
@@ -55,7 +55,7 @@ def encode(
     """
     if max_length < 2:
         raise ValueError("max_length must leave room for the start and end ids")
-    kept = df.withColumn("_tokens", F.slice(tokens(F.col(text), fold), 1, max_length - 2))
+    kept = df.withColumn("_tokens", first_tokens(F.col(text), max_length - 2, fold))
     # One row more than the bound tells a table that is too large apart.
     local = vocab.select("token", "id").limit(max_lookup + 1).toArrow()
     short = local.num_rows <= max_lookup and local.nbytes <= 64 << 20

@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from postscreen.functions import (
     NA_VALUES,
+    fill_text,
+    first_tokens,
     is_valid_label,
     missing_to_null,
     not_blank,
@@ -12,7 +14,6 @@ from postscreen.functions import (
     strip,
     tokens,
 )
-from postscreen.functions.text import fill_text
 from tests.conftest import rows
 
 
@@ -115,3 +116,12 @@ def test_tokens(spark):
     assert one(spark, "It's NEW", lambda c: tokens(c, fold=False)) == ["It", "s", "NEW"]
     assert one(spark, None, tokens) == []
     assert one(spark, " 12 ", tokens) == []
+
+
+def test_first_tokens_are_a_slice_of_all_tokens(spark):
+    texts = ["", "a", " a", "a ", " a b ", "a b c", ".a b c.", "a b c d", "--a b c d", "A-B-C-D-E 1 f", "1 2", None]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    for n in (0, 1, 2, 3, 4, 9):
+        for fold in (True, False):
+            want = F.slice(tokens(F.col("v"), fold), 1, n)
+            assert df.filter(first_tokens(F.col("v"), n, fold) != want).count() == 0
