@@ -125,7 +125,7 @@ _VOCAB = f"""words AS (SELECT unnest({_tokens()}) AS token FROM train),
   vocab AS (SELECT token, (r + {FIRST_ID - 1})::INTEGER AS id FROM ranked
     WHERE r <= 30522 - {FIRST_ID})"""
 
-_OUT_OF_FOLD = f"""WITH {_LABELLED},
+_OUT_OF_FOLD = f"""{_LABELLED},
   folded AS (
     SELECT doc_id, text, {LABEL}, {_number("'42:fold:' || doc_id")} % 5 AS fold FROM labelled),
   words AS (SELECT fold, {LABEL}, unnest({_tokens()}) AS token FROM folded),
@@ -143,9 +143,11 @@ _OUT_OF_FOLD = f"""WITH {_LABELLED},
   sums AS (
     SELECT t.doc_id, sum(w) AS s
     FROM (SELECT doc_id, fold AS slot, unnest({_tokens()}) AS token FROM folded) t
-    JOIN weights USING (slot, token) GROUP BY t.doc_id)
-  SELECT doc_id, {LABEL}, round(1 / (1 + exp(-(coalesce(s, 0) + prior))), 6) AS p1
-  FROM folded LEFT JOIN sums USING (doc_id) JOIN priors ON slot = fold"""
+    JOIN weights USING (slot, token) GROUP BY t.doc_id),
+  fold_scores AS (
+    SELECT doc_id, {LABEL}, fold, round(coalesce(s, 0) + prior, 9) AS margin
+    FROM folded LEFT JOIN sums USING (doc_id) JOIN priors ON slot = fold)"""
+
 
 def _cleaned(text: str, source: str) -> str:
     kept = f"(SELECT * FROM filled WHERE {_strip('text')} <> '')"
@@ -304,7 +306,14 @@ ORACLE: dict[str, str] = {
       {_bayes("b", "train", "documents", fold=False)}
       SELECT doc_id, round(x.p1, 6) AS p_a, round(y.p1, 6) AS p_b
       FROM a_scores x JOIN b_scores y USING (doc_id)""",
-    "out_of_fold": _OUT_OF_FOLD,
+    "out_of_fold": f"""WITH {_OUT_OF_FOLD}
+      SELECT doc_id, {LABEL}, round(1 / (1 + exp(-margin)), 6) AS p1 FROM fold_scores""",
+    "metrics_by_step": f"""WITH {_OUT_OF_FOLD},
+      steps AS (
+        SELECT 'bayes' AS run, fold::INTEGER AS step, {LABEL}, (margin > 0)::INTEGER AS pred
+        FROM fold_scores),
+      cells AS ({_cells("steps", "run, step,")} GROUP BY run, step)
+      {_metrics("cells", "run, step,")}""",
     "compare_models": f"""WITH {_TRAIN}, {_bayes("a", "train", "labelled", keep=f"{LABEL},")},
       {_bayes("b", "train", "labelled", fold=False, keep=f"{LABEL},")},
       long AS (

@@ -354,6 +354,14 @@ def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", LABEL, F.round("p1", 6).alias("p1"))
 
 
+def metrics_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics per step of a run; the steps are the folds of an out-of-fold run."""
+    df = labelled(spark, sf_dir).select("doc_id", "text", LABEL)
+    scores = bayes.with_fold(bayes.out_of_fold(df, "doc_id", "text", LABEL), "doc_id")
+    steps = scores.select(F.lit("bayes").alias("run"), F.col("fold").alias("step"), LABEL, "pred")
+    return metrics.metrics(steps, LABEL, "pred", ["run", "step"])
+
+
 def compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scored(spark, sf_dir)
     frames = [df.select(F.lit("stand_in").alias("model"), LABEL, "pred")]
@@ -549,6 +557,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nb_proba": nb_proba,
     "stack_features": stack_features,
     "out_of_fold": out_of_fold,
+    "metrics_by_step": metrics_by_step,
     "compare_models": compare_models,
     "error_report": error_report,
     "lr_predict": lr_predict,

@@ -242,10 +242,15 @@ def _drawn_copies(
         .agg(F.count(F.lit(1)).alias("_hits"))
     )
     extra = ranked.join(hits, [label, "_rank"]).select(key, "_hits")
+    # Only the classes that are drawn from meet their draws; the largest is not shuffled.
+    drawn = join_small(df, short.select(label), [label], spread=key, how="left_semi")
+    others = join_small(df, short.select(label), [label], spread=key, how="left_anti")
+    once = F.lit(1).cast("long")
     return (
-        df.join(extra, key, "left")
-        .withColumn("copies", F.lit(1).cast("long") + F.coalesce("_hits", F.lit(0)))
+        drawn.join(extra, key, "left")
+        .withColumn("copies", once + F.coalesce("_hits", F.lit(0)))
         .select(*[F.col(f"`{c}`") for c in df.columns], "copies")
+        .unionByName(others.withColumn("copies", once))
     )
 
 

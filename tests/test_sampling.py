@@ -90,9 +90,17 @@ def test_many_copies_are_made_in_blocks(spark, mode, monkeypatch):
 
 def test_rows_without_label_stay_single(spark):
     df = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, None)], "k long, y int")
-    got = rows(oversample(df, "y", "k"))
-    assert [r for r in got if r[0] == 4] == [(4, None, 1)]
-    assert len(got) == 5
+    for mode in ("even", "bootstrap"):
+        got = rows(oversample(df, "y", "k", mode=mode))
+        assert [r for r in got if r[0] == 4] == [(4, None, 1)]
+        assert len(got) == 5
+
+
+@pytest.mark.parametrize("mode", ["even", "bootstrap"])
+def test_empty_table(spark, mode):
+    empty = spark.createDataFrame([], "k long, y int")
+    assert oversample(empty, "y", "k", mode=mode).count() == 0
+    assert split(empty, "k").count() == 0
 
 
 def test_unknown_mode(spark):
