@@ -35,8 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, for work on their texts."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for heavy work on their texts."""
+    return spread(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+
+
+def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled documents, for heavy work on their texts."""
+    return spread(labelled(spark, sf_dir).select("doc_id", "text", LABEL), "doc_id")
 
 
 def posts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +101,7 @@ def _text_sums(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
 
 def label_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean the posts and report how often each class occurs."""
-    df = dirty(spark, sf_dir).select("doc_id", "text", LABEL)
+    df = spread(dirty(spark, sf_dir).select("doc_id", "text", LABEL), "doc_id")
     cleaned = datasets.clean_texts(df.withColumn("text", remove_emoji(F.col("text"))), ["doc_id"])
     return report.value_counts(datasets.valid_labels(cleaned), LABEL)
 
@@ -105,7 +114,7 @@ def presence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def union_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = union_sources(
-        table(spark, sf_dir, "documents").drop("n_chars"), table(spark, sf_dir, "conversations")
+        documents(spark, sf_dir).drop("n_chars"), table(spark, sf_dir, "conversations")
     )
     counted = ["text", "doc_id", "lang", "source", "conv_id", "turn", "role"]
     return both.groupBy("source_rank").agg(
@@ -131,12 +140,12 @@ def strip_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def emoji_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("doc_id") % 3
     text = F.when(kind == 0, F.concat(F.lit(MIXED), "text", F.lit(MIXED))).otherwise(F.col("text"))
-    df = documents(spark, sf_dir).select("doc_id", remove_emoji(text).alias("text"))
+    df = texts(spark, sf_dir).select("doc_id", remove_emoji(text).alias("text"))
     return df.select("doc_id", F.length("text").alias("length"), F.md5("text").alias("digest"))
 
 
 def first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents")
+    rows = documents(spark, sf_dir)
     return keep_first(rows, ["text"], ["doc_id"]).select("doc_id", "lang", "source", "n_chars")
 
 
@@ -144,13 +153,13 @@ def first_of_each_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without regard to case; every other text starts with a capitalised word."""
     prefix = F.when(F.col("doc_id") % 2 == 0, "NOTE ").otherwise("note ")
     text = F.lower(F.concat(prefix, F.col("text")))
-    df = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    df = documents(spark, sf_dir).select("doc_id", text.alias("text"))
     return keep_first(df, ["text"], ["doc_id"]).select("doc_id")
 
 
 def dedup_then_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First of each text, then positives: a text first seen as negative is gone."""
-    df = table(spark, sf_dir, "documents").select(
+    df = documents(spark, sf_dir).select(
         "doc_id", "text", (F.col("doc_id") % 2).cast("int").alias(LABEL)
     )
     return keep_first(df, ["text"], ["doc_id"]).filter(F.col(LABEL) == 1).select("doc_id", LABEL)
@@ -160,17 +169,17 @@ def dedup_then_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    rows = documents(spark, sf_dir).select("doc_id", "lang", "source")
     return report.head(rows, ["doc_id"], 20)
 
 
 def with_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    rows = documents(spark, sf_dir).select("doc_id", "n_chars")
     return ordinal.with_ordinal(rows, ["n_chars", "doc_id"])
 
 
 def number_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id")
+    rows = documents(spark, sf_dir).select("doc_id")
     return (
         ordinal.number_parts(rows, ["doc_id"], 500)
         .groupBy("part")
@@ -187,11 +196,11 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def box_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.box_summary(table(spark, sf_dir, "documents"), "source")
+    return report.box_summary(documents(spark, sf_dir), "source")
 
 
 def box_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.box_outliers(table(spark, sf_dir, "documents"), "lang")
+    return report.box_outliers(documents(spark, sf_dir), "lang")
 
 
 def frequency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,11 +270,11 @@ def outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return sampling.split(documents(spark, sf_dir).select("doc_id"), "doc_id")
 
 
 def split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id")
+    rows = documents(spark, sf_dir).select("doc_id")
     return sampling.split(rows, "doc_id", exact=True)
 
 
@@ -280,11 +289,11 @@ def oversample_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shuffle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.shuffle(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return sampling.shuffle(documents(spark, sf_dir).select("doc_id", "lang"), "doc_id")
 
 
 def shuffle_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.shuffled_batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return sampling.shuffled_batches(documents(spark, sf_dir).select("doc_id"), "doc_id")
 
 
 # --- tokens, models ----------------------------------------------------------------------------
@@ -292,7 +301,7 @@ def shuffle_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = tokens(F.col("text"))
-    return documents(spark, sf_dir).select(
+    return texts(spark, sf_dir).select(
         "doc_id",
         F.size(words).alias("n_tokens"),
         F.md5(F.concat_ws(" ", words)).alias("digest"),
@@ -300,7 +309,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _train_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = labelled(spark, sf_dir).select("doc_id", "text", LABEL)
+    df = labelled_texts(spark, sf_dir)
     return sampling.split(df, "doc_id").filter("side = 'train'")
 
 
@@ -310,8 +319,7 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = features.build_vocab(_train_side(spark, sf_dir), "text")
-    texts = documents(spark, sf_dir).select("doc_id", "text")
-    coded = features.encode(texts, "text", words, "doc_id")
+    coded = features.encode(texts(spark, sf_dir), "text", words, "doc_id")
     return coded.select(
         "doc_id",
         F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("ids"),
@@ -325,7 +333,7 @@ def _bayes(spark: SparkSession, sf_dir: str, fold_case: bool = True) -> bayes.Na
 
 def _bayes_scores(spark: SparkSession, sf_dir: str, fold_case: bool = True) -> DataFrame:
     model = _bayes(spark, sf_dir, fold_case)
-    return bayes.score(model, documents(spark, sf_dir), "doc_id", "text")
+    return bayes.score(model, texts(spark, sf_dir), "doc_id", "text")
 
 
 def nb_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,14 +357,14 @@ def stack_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = labelled(spark, sf_dir).select("doc_id", "text", LABEL)
+    df = labelled_texts(spark, sf_dir)
     scores = bayes.out_of_fold(df, "doc_id", "text", LABEL)
     return scores.select("doc_id", LABEL, F.round("p1", 6).alias("p1"))
 
 
 def metrics_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics per step of a run; the steps are the folds of an out-of-fold run."""
-    df = labelled(spark, sf_dir).select("doc_id", "text", LABEL)
+    df = labelled_texts(spark, sf_dir)
     scores = bayes.with_fold(bayes.out_of_fold(df, "doc_id", "text", LABEL), "doc_id")
     steps = scores.select(F.lit("bayes").alias("run"), F.col("fold").alias("step"), LABEL, "pred")
     return metrics.metrics(steps, LABEL, "pred", ["run", "step"])
@@ -367,24 +375,23 @@ def compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = [df.select(F.lit("stand_in").alias("model"), LABEL, "pred")]
     for name, fold_case in (("bayes_folded", True), ("bayes_cased", False)):
         model = _bayes(spark, sf_dir, fold_case)
-        scores = bayes.score(model, df.select("doc_id", "text", LABEL), "doc_id", "text", [LABEL])
+        scores = bayes.score(model, labelled_texts(spark, sf_dir), "doc_id", "text", [LABEL])
         frames.append(scores.select(F.lit(name).alias("model"), LABEL, "pred"))
     return metrics.compare(union_sources(*frames, rank=None), LABEL, "pred")
 
 
 def error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts_ = labelled(spark, sf_dir).select("doc_id", "text", LABEL)
-    return training.error_report(_bayes(spark, sf_dir), posts_, "doc_id").summary
+    df = labelled_texts(spark, sf_dir)
+    return training.error_report(_bayes(spark, sf_dir), df, "doc_id").summary
 
 
 def lr_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = linear.fit_lr(_train_side(spark, sf_dir), "text", LABEL, max_iter=20)
-    texts = documents(spark, sf_dir).select("doc_id", "text")
-    return linear.score_lr(model, texts).select("doc_id", "p1", "pred")
+    return linear.score_lr(model, texts(spark, sf_dir)).select("doc_id", "p1", "pred")
 
 
 def meta_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = datasets.prepare(labelled(spark, sf_dir), "doc_id")
+    data = datasets.prepare(labelled_texts(spark, sf_dir), "doc_id")
     return training.train_stacked(data, "doc_id").scores
 
 
@@ -401,8 +408,7 @@ def external_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return predict
 
-    texts = documents(spark, sf_dir).select("doc_id", "text")
-    scores = linear.score_external(texts, "text", length_model)
+    scores = linear.score_external(texts(spark, sf_dir), "text", length_model)
     return scores.select("doc_id", F.round("p1", 6).alias("p1"), "pred")
 
 
@@ -411,7 +417,7 @@ def external_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_scraped(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = F.regexp_extract("text", "https?://[^ \n]+", 0)
-    first = table(spark, sf_dir, "documents").select(
+    first = documents(spark, sf_dir).select(
         "text",
         F.col("n_chars").alias("repostCount"),
         F.col("source").alias("createdAt"),
@@ -427,8 +433,9 @@ def build_scraped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = table(spark, sf_dir, "documents").withColumn(LABEL, F.col("doc_id") % 2)
-    final = datasets.build_final(dirty(spark, sf_dir), extra, ["doc_id"])
+    extra = texts(spark, sf_dir).withColumn(LABEL, F.col("doc_id") % 2)
+    raw = spread(dirty(spark, sf_dir).select("doc_id", "text", LABEL), "doc_id")
+    final = datasets.build_final(raw, extra, ["doc_id"])
     return _text_sums(final, [LABEL])
 
 
@@ -444,7 +451,7 @@ def prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    raw = documents(spark, sf_dir).withColumnRenamed("doc_id", "id")
     return _text_sums(datasets.build_unlabelled(raw), [LABEL]).withColumn(
         LABEL, F.col(LABEL).cast("int")
     )
@@ -452,7 +459,7 @@ def build_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts on both sides: with the raw table split again, and with one prepared table."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn(LABEL, F.lit(0))
+    rows = documents(spark, sf_dir).select("doc_id", "text").withColumn(LABEL, F.lit(0))
     data = datasets.prepare(rows, "doc_id", mode=None)
     raw_val = sampling.split(rows, "doc_id").filter("side = 'val'")
     cases = {"split_again": raw_val, "split_once": data.val}
@@ -472,7 +479,7 @@ def leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "csv")
-    posts.write_posts(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), path)
+    posts.write_posts(documents(spark, sf_dir).select("doc_id", "lang", "text"), path)
     back = posts.read_posts(spark, path, "doc_id long, lang string, text string")
     return back.select("doc_id", "lang", F.md5("text").alias("digest"))
 
@@ -481,7 +488,7 @@ def tolerant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records in which an unquoted value holds a delimiter are told apart from good ones."""
     path = new_table_path(spark, "tolerant")
     lang = F.when(F.col("doc_id") % 5 == 0, F.concat_ws(",", "lang", "source")).otherwise(F.col("lang"))
-    written = table(spark, sf_dir, "documents").select("doc_id", lang.alias("lang"))
+    written = documents(spark, sf_dir).select("doc_id", lang.alias("lang"))
     written.write.options(header=True, quote="\u0000").csv(path)
     good, rejected = posts.read_tolerant(spark, path, "doc_id long, lang string")
     bad_id = F.substring_index("record", ",", 1).cast("long")
@@ -492,7 +499,7 @@ def tolerant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parts_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "parts")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    rows = documents(spark, sf_dir).select("doc_id", "lang")
     posts.write_parts(rows, path, ["doc_id"], 500, "documents")
     back = spark.read.schema("doc_id long, lang string, documents_part long").csv(path, header=True)
     return back.groupBy(F.col("documents_part").alias("part")).agg(
@@ -512,7 +519,7 @@ def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "model")
     models.save_model(spark, _bayes(spark, sf_dir), path)
     model = models.load_model(spark, path)
-    scores = bayes.score(model, documents(spark, sf_dir), "doc_id", "text")
+    scores = bayes.score(model, texts(spark, sf_dir), "doc_id", "text")
     return scores.select("doc_id", "pred", F.round("p1", 6).alias("p1"))
 
 
