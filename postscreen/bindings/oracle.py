@@ -214,8 +214,8 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, lower(CASE doc_id % 2 WHEN 0 THEN 'NOTE ' ELSE 'note ' END || text) AS text
         FROM documents)
       SELECT doc_id FROM ({_first("folded")})""",
-    "dedup_then_filter": f"""SELECT doc_id, (doc_id % 2)::INTEGER AS {LABEL}
-      FROM ({_first("documents")}) WHERE doc_id % 2 = 1""",
+    "dedup_then_filter": f"""SELECT doc_id, 1 AS {LABEL}
+      FROM ({_first("documents")}) WHERE source >= 'src5'""",
     "head_rows": "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 20",
     "with_ordinal": """SELECT doc_id, n_chars,
         row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS ord FROM documents""",
@@ -339,7 +339,7 @@ ORACLE: dict[str, str] = {
       final AS (
         SELECT {_no_emoji("text")} AS text, {_strip(LABEL)}::INTEGER AS {LABEL}
         FROM dirty WHERE {_VALID}
-        UNION ALL SELECT {_no_emoji("text")}, 1 FROM ({_first("documents")}) WHERE doc_id % 2 = 1)
+        UNION ALL SELECT {_no_emoji("text")}, 1 FROM ({_first("documents")}) WHERE source >= 'src5')
       {_text_sums("final", LABEL)}""",
     "prepare": f"""WITH {_DIRTY}, {_POSTS_ALL},
       raw AS (SELECT d.doc_id, d.text, coalesce(p.{LABEL}, 0) AS {LABEL}

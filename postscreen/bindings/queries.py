@@ -157,11 +157,16 @@ def first_of_each_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_first(df, ["text"], ["doc_id"]).select("doc_id")
 
 
+def _source_label() -> Column:
+    return (F.col("source") >= "src5").cast("int").alias(LABEL)
+
+
 def dedup_then_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First of each text, then positives: a text first seen as negative is gone."""
-    df = documents(spark, sf_dir).select(
-        "doc_id", "text", (F.col("doc_id") % 2).cast("int").alias(LABEL)
-    )
+    """First of each text, then positives: a text first seen as negative is gone.
+
+    The label comes from the source, so that copies of a text can have conflicting ones.
+    """
+    df = documents(spark, sf_dir).select("doc_id", "text", _source_label())
     return keep_first(df, ["text"], ["doc_id"]).filter(F.col(LABEL) == 1).select("doc_id", LABEL)
 
 
@@ -433,7 +438,9 @@ def build_scraped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = texts(spark, sf_dir).withColumn(LABEL, F.col("doc_id") % 2)
+    extra = spread(
+        documents(spark, sf_dir).select("doc_id", "text", _source_label()), "doc_id"
+    )
     raw = spread(dirty(spark, sf_dir).select("doc_id", "text", LABEL), "doc_id")
     final = datasets.build_final(raw, extra, ["doc_id"])
     return _text_sums(final, [LABEL])
