@@ -450,7 +450,7 @@ def prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = dirty(spark, sf_dir).select("doc_id", "text")
     labels = posts_all(spark, sf_dir).select("doc_id", LABEL)
     # Unlabelled posts stand for class 0.
-    df = raw.join(labels, "doc_id").fillna(0, [LABEL])
+    df = spread(raw.join(labels, "doc_id").fillna(0, [LABEL]), "doc_id")
     data = datasets.prepare(df, "doc_id", lowercase=True, exact=True)
     train = data.train.select(F.lit("train").alias("side"), "text", LABEL)
     val = data.val.select(F.lit("val").alias("side"), "text", LABEL)
