@@ -5,10 +5,11 @@ part of that is taken for certain; the fraction is an inclusion probability, and
 turns it into 0 or 1: it moves the probabilities of three documents at a time along the null
 space of the balancing equations (tokens and documents), so that both totals stay what they are,
 until one is 0 or 1. Blocks of bounded size do this in parallel, each leaves at most two open, and
-what is open meets again in fewer blocks, until one small block per source is left. There the last
-one or two documents land on the rounding whose tokens come nearest to the target.
+what is open meets again in fewer blocks, until one small block per source is left. There a few documents
+of all sizes are kept aside; they and the last one or two of the flight land on the rounding whose
+tokens come nearest to the target.
 
-Large documents are decided first, so the open ones are small. All random numbers come from
+All random numbers come from
 the seed and the block, so reruns agree, whatever the partitions.
 
 Defined results: a null text has size 0; the null source is a source of its own, behind all
@@ -22,6 +23,7 @@ import random
 import zlib
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ from postscreen.session import materialise
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 EPS = 1e-9
+# Documents kept for the landing of each source.
+LANDING = 14
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -109,19 +113,36 @@ def _move(p: list[float], live: list[int], u: tuple[float, ...], rng: random.Ran
 
 
 def landing(sizes: list[float], p: list[float], due: float) -> list[float]:
-    """Rounds what is open (two at most) so that the tokens taken come nearest to ``due``."""
+    """Rounds what is open so that the tokens taken come nearest to ``due``, then the documents."""
     open_ = [i for i, x in enumerate(p) if 0 < x < 1]
-    taken = sum(s * x for s, x in zip(sizes, p, strict=True) if x == 1)
-    best = min(
-        range(1 << len(open_)),
-        key=lambda m: (abs(taken + sum(sizes[i] for k, i in enumerate(open_) if m >> k & 1) - due), m),
-    )
+    tokens, rows = np.zeros(1), np.zeros(1)
+    for i in open_:  # every choice, those of one more document behind the others
+        tokens = np.concatenate([tokens, tokens + sizes[i]])
+        rows = np.concatenate([rows, rows + 1])
+    taken = sum(s for s, x in zip(sizes, p, strict=True) if x == 1)
+    off = np.abs(tokens + taken - due)
+    best = int(np.lexsort((np.abs(rows - sum(p[i] for i in open_)), off))[0])
     out = list(p)
     for k, i in enumerate(open_):
         out[i] = float(best >> k & 1)
     return out
 
 
+def settle(sizes: list[float], probs: list[float], rng: random.Random) -> list[float]:
+    """The flight and the landing of a source's last block.
+
+    ``LANDING`` documents, spread over the sizes, stay out of the flight; they land together with what it
+    leaves open, on the best of all their roundings.
+    """
+    n = len(sizes)
+    aside = {(2 * k + 1) * n // (2 * LANDING) for k in range(LANDING)} if n > LANDING else set(range(n))
+    rest = [i for i in range(n) if i not in aside]
+    p = list(probs)
+    for i, x in zip(rest, flight([sizes[i] for i in rest], [p[i] for i in rest], rng), strict=True):
+        p[i] = x
+    return landing(sizes, p, sum(s * x for s, x in zip(sizes, probs, strict=True)))
+
+
 def mix(
     df: DataFrame, key: str, size: Column, source: str, seed: int = 0, block_rows: int = 2000,
     **shares,
@@ -155,10 +176,7 @@ def mix(
             pdf = pdf.sort_values(["size", "key"], ascending=[False, True], ignore_index=True)
             name = f"{seed}/{pdf['source_id'].iloc[0]}/{pdf['block'].iloc[0]}/{len(pdf)}"
             sizes, p = pdf["size"].astype(float).tolist(), pdf["p"].tolist()
-            due = sum(s * x for s, x in zip(sizes, p, strict=True))
-            p = flight(sizes, p, random.Random(zlib.crc32(name.encode())))
-            if last:
-                p = landing(sizes, p, due)
+            p = (settle if last else flight)(sizes, p, random.Random(zlib.crc32(name.encode())))
             return pdf[["key", "size", "source_id"]].assign(p=p)
 
         return run

@@ -2,8 +2,8 @@
 
 Learning. From the labelled training rows Spark counts, for each word, in how many toxic and in
 how many clean texts it occurs; then the same for the beginnings of words, so that inflected
-forms meet in their stem. What stands out by its smoothed log-odds is the lexicon: whole words,
-and stems (a word that begins so). A second pass over the same rows counts how often each kind of
+forms meet in their stem. What stands out by its smoothed log-odds, and stands in many different settings, is the lexicon: whole
+words, and stems (a word that begins so). Words of clean texts that look like a misspelled entry are noted. A second pass over the same rows counts how often each kind of
 evidence (exact or misspelled, quoted or not, how many) marks a toxic text: those counts give the
 scores, so that nothing about them is set by hand.
 
@@ -25,10 +25,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postscreen.llm.common import fold
+from postscreen.session import materialise
 
 # Words may hold characters that stand in for letters.
 TOKEN = re.compile(r"\w+(?:[*@$]+\w+)*")
@@ -40,16 +42,19 @@ STEM_MIN, STEM_MAX = 4, 10
 PAIRS = "word string, toxic long, clean long"
 
 
-def max_edits(length: int) -> int:
-    """Edits that an entry of this length allows."""
-    return 0 if length < 5 else 1 if length < 9 else 2
+def max_edits(length: int, stem: bool = False) -> int:
+    """Edits that an entry of this length allows; a stem, which leaves its word's end open, fewer."""
+    return (0 if length < 8 else 1) if stem else (0 if length < 5 else 1 if length < 9 else 2)
 
 
 # --- lexicon -----------------------------------------------------------------------------------
 
 
 def word_counts(df: DataFrame, text: str, label: str, hold: int = 200_000) -> DataFrame:
-    """word, toxic, clean: in how many texts of each label it occurs. Partial counts per task."""
+    """word, toxic, clean: in how many texts of each label it occurs. Partial counts per task.
+
+    The empty word counts the texts themselves.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
@@ -66,7 +71,7 @@ def word_counts(df: DataFrame, text: str, label: str, hold: int = 200_000) -> Da
 
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update(set(TOKEN.findall(t.lower())))
+                seen[y].update({"", *TOKEN.findall(t.lower())})
                 if len(seen[0]) + len(seen[1]) > hold:
                     yield out()
                     seen[0].clear()
@@ -77,14 +82,41 @@ def word_counts(df: DataFrame, text: str, label: str, hold: int = 200_000) -> Da
     return rows.mapInArrow(count, PAIRS).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def settings(df: DataFrame, text: str, words: list[str], stems: list[str]) -> DataFrame:
+    """entry, settings: between how many different pairs of neighbours each entry stands in ``df``.
+
+    A word that a text shares with its own copies only has few, however often it was copied.
+    """
+    known, starts = frozenset(words), frozenset(stems)
+    lengths = [n for n in range(STEM_MIN, STEM_MAX + 1) if any(len(s) == n for s in starts)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                tokens = ["", *TOKEN.findall(t.lower()), ""]
+                for k, w in enumerate(tokens):
+                    found = [w[:n] for n in lengths if n <= len(w) and w[:n] in starts]
+                    found += [w] * (w in known and w not in found)
+                    if found:
+                        near = xxhash.xxh3_64_intdigest(" ".join(tokens[k - 1 : k + 2])) >> 1
+                        seen.update((e, near) for e in found)
+        entries, near = [e for e, _ in seen], [n for _, n in seen]
+        yield pa.RecordBatch.from_pydict({"entry": pa.array(entries, pa.string()), "near": pa.array(near, pa.int64())})
+
+    rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return rows.mapInArrow(run, "entry string, near long").groupBy("entry").agg(F.count_distinct("near").alias("settings"))
+
+
 def lexicon(
-    counts: DataFrame, n_toxic: int, n_clean: int, least_odds: float = 4.0, least_share: float = 0.004,
-    size: int = 2000,
+    labelled: DataFrame, counts: DataFrame, n_toxic: int, n_clean: int, least_odds: float = 4.0,
+    least_share: float = 0.004, size: int = 2000,
 ) -> list[tuple[str, bool]]:
-    """(entry, is a stem), at most ``size`` of each kind, by how much they stand out.
+    """(entry, is a stem): words and beginnings of words that stand out in the toxic texts.
 
-    An entry must occur in ``least_share`` of the toxic texts, 3 at least, and have log-odds of
-    ``least_odds`` or more. A stem counts the texts of its words, added up.
+    An entry has log-odds of ``least_odds`` or more, and it occurs in ``least_share`` of the toxic texts, 3
+    at least, and in as many different settings. The ``size`` words and the ``size`` stems of the highest
+    log-odds are looked at. A stem counts the texts of its words, added up.
     """
     least = max(3.0, least_share * n_toxic)
 
@@ -99,7 +131,6 @@ def lexicon(
         return [r["word"] for r in df.select("word").collect()]
 
     words = standing_out(counts.filter(F.length("word") >= 3))
-    # Beginnings are only counted of words that are not clean words themselves.
     lengths = F.sequence(F.lit(STEM_MIN), F.least(F.length("word"), F.lit(STEM_MAX)))
     starts = (
         counts.filter(F.length("word") >= STEM_MIN)
@@ -108,12 +139,16 @@ def lexicon(
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count(F.lit(1)).alias("forms"))
         .filter("forms >= 3")
     )
-    stems: list[str] = []
-    for s in standing_out(starts):  # the clearest of each family
-        if not any(s.startswith(k) or k.startswith(s) for k in stems):
-            stems.append(s)
-    words = [w for w in words if not w.startswith(tuple(stems))]
-    return sorted([(w, False) for w in words] + [(s, True) for s in stems])
+    stems = standing_out(starts)
+    varied = settings(labelled.filter("label = 1"), "text", words, stems).filter(F.col("settings") >= least)
+    varied = {r["entry"] for r in varied.collect()}
+    words = [w for w in words if w in varied]
+    kept: list[str] = []
+    for s in stems:  # the clearest of each family
+        if s in varied and not any(s.startswith(k) or k.startswith(s) for k in kept):
+            kept.append(s)
+    words = [w for w in words if not w.startswith(tuple(kept))]
+    return sorted([(w, False) for w in words] + [(s, True) for s in kept])
 
 
 class Automaton:
@@ -125,7 +160,7 @@ class Automaton:
         self.reach: list[int] = [0]  # most edits that an entry below allows
         self.most_states = most_states
         for i, (entry, stem) in enumerate(entries):
-            node, edits = 0, max_edits(len(entry))
+            node, edits = 0, max_edits(len(entry), stem)
             self.reach[0] = max(self.reach[0], edits)
             for ch in entry:
                 if ch not in self.children[node]:
@@ -211,9 +246,13 @@ def quoted(text: str, start: int, end: int, words: list[str]) -> bool:
     return inside or bool(REPORTING.intersection(words))
 
 
-def evidence(text: str, automaton: Automaton, cache: dict[str, tuple[int, int] | None]) -> str:
+def evidence(
+    text: str, automaton: Automaton, cache: dict[str, tuple[int, int] | None], other: frozenset[str]
+) -> str:
     """The kind of evidence in a text: '' for none, else kind, context and number of its best hits.
 
+    ``other`` has words of clean texts that only look like a misspelled entry.
+
     ``x`` stands for an exact and ``m`` for a misspelled hit; ``q`` for hits that are all quoted.
     """
     low = text.lower()
@@ -222,20 +261,22 @@ def evidence(text: str, automaton: Automaton, cache: dict[str, tuple[int, int] |
         if w not in cache:
             if len(cache) > 500_000:
                 cache.clear()
-            cache[w] = automaton.match(w)
+            hit = automaton.match(w)
+            cache[w] = None if hit is not None and hit[0] and w in other else hit
         if cache[w] is not None:
             hits.add(w)
     if not hits:
         return ""
     exact = any(cache[w][0] == 0 for w in hits)
     best = {w for w in hits if (cache[w][0] == 0) == exact}
-    tokens = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(low)]
-    n, all_quoted = 0, True
-    for k, (start, end, w) in enumerate(tokens):
-        if w in best:
-            n += 1
-            around = [t[2] for t in tokens[max(0, k - WINDOW) : k + WINDOW + 1]]
-            all_quoted = all_quoted and quoted(low, start, end, around)
+    tokens = list(TOKEN.finditer(low))
+    places = [k for k, m in enumerate(tokens) if m.group() in best]
+    n, all_quoted = len(places), True
+    for k in places:
+        around = [m.group() for m in tokens[max(0, k - WINDOW) : k + WINDOW + 1]]
+        if not quoted(low, *tokens[k].span(), around):
+            all_quoted = False
+            break
     many = "3" if n >= 3 else str(n)
     return ("x" if exact else "m") + ("q" if all_quoted else "u") + many
 
@@ -243,35 +284,55 @@ def evidence(text: str, automaton: Automaton, cache: dict[str, tuple[int, int] |
 @dataclass(frozen=True)
 class ToxicityModel:
     entries: list[tuple[str, bool]] = field(default_factory=list)
+    other: frozenset[str] = frozenset()
     scores: dict[str, float] = field(default_factory=dict)
 
 
-def _kinds(df: DataFrame, text: str, entries: list[tuple[str, bool]]) -> DataFrame:
+def _kinds(df: DataFrame, text: str, entries: list[tuple[str, bool]], other: frozenset[str]) -> DataFrame:
     """``df`` with ``_kind``."""
     schema = df.withColumn("_kind", F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, cache = Automaton(entries), {}
         for batch in batches:
-            kinds = [evidence(t or "", automaton, cache) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds, pa.string())], names=[*batch.schema.names, "_kind"])
+            kinds = [evidence(t or "", automaton, cache, other) for t in batch.column(text).to_pylist()]
+            arrays = [*batch.columns, pa.array(kinds, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "_kind"])
 
     return df.mapInArrow(run, schema)
 
 
+def lookalikes(counts: DataFrame, entries: list[tuple[str, bool]], size: int = 20_000) -> dict[str, int]:
+    """Words of clean texts within an entry's edits, with their number of clean texts; the ``size`` commonest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(entries)
+        for batch in batches:
+            hits = [automaton.match(w) for w in batch.column("word").to_pylist()]
+            yield batch.filter(pa.array([h is not None and h[0] > 0 for h in hits], pa.bool_()))
+
+    near = counts.select("word", "clean").filter("clean > 0 and word <> ''")
+    near = near.mapInArrow(run, "word string, clean long").orderBy(F.desc("clean"), "word").limit(size)
+    return {r["word"]: r["clean"] for r in near.collect()}
+
+
 def fit(labelled: DataFrame, text: str, label: str, **options) -> ToxicityModel:
     """Learn from all rows of ``labelled`` whose label is 0 or 1."""
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
     rows = rows.filter(F.col("label").isin(0, 1))
-    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
-    if not n_toxic:
+    counts = materialise(word_counts(rows, "text", "label"), "words")
+    total = counts.filter("word = ''").first()
+    if total is None or not total["toxic"]:
         return ToxicityModel()
-    entries = lexicon(word_counts(rows, "text", "label"), n_toxic, n_clean, **options)
-    found = _kinds(rows, "text", entries).groupBy("_kind").agg(
+    entries = lexicon(rows, counts.filter("word <> ''"), total["toxic"], total["clean"], **options)
+    near = lookalikes(counts, entries)
+    # A word seen in one clean text only could not have been known for that text.
+    often = frozenset(w for w, n in near.items() if n > 1)
+    found = _kinds(rows, "text", entries, often).groupBy("_kind").agg(
         F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("rows")
     )
-    return ToxicityModel(entries, smoothed({r["_kind"]: (r["toxic"], r["rows"]) for r in found.collect()}))
+    scores = smoothed({r["_kind"]: (r["toxic"], r["rows"]) for r in found.collect()})
+    return ToxicityModel(entries, frozenset(near), scores)
 
 
 def smoothed(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
@@ -282,7 +343,7 @@ def smoothed(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
 
     out = {"": share(lambda k: not k, 0.0)}
     for kind in "xm":
-        wide = share(lambda k: k[:1] == kind, 0.5 if kind == "x" else 0.2)
+        wide = share(lambda k: k[:1] == kind, 0.5)
         for context in "uq":
             mid = share(lambda k: k[:2] == kind + context, wide)
             for many in "123":
@@ -295,7 +356,7 @@ def score(df: DataFrame, text: str, model: ToxicityModel) -> DataFrame:
     if not model.entries:
         return df.withColumn("score", F.lit(model.scores.get("", 0.0)))
     known = F.create_map(*[F.lit(x) for kv in sorted(model.scores.items()) for x in kv])
-    return _kinds(df, text, model.entries).withColumn("score", known[F.col("_kind")]).drop("_kind")
+    return _kinds(df, text, model.entries, model.other).withColumn("score", known[F.col("_kind")]).drop("_kind")
 
 
 def training_rows(
