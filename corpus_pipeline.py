@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postscreen.llm import jaccard, langid, mixing, packing, toxicity
-from postscreen.llm.common import fold, table, word_count
+from postscreen.llm.common import fold, small, table, word_count
 from postscreen.session import materialise
 
 THRESHOLD = 0.3
@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     mixed = mixing.mix(docs, "doc_id", word_count(F.col("text")), "source")
     taken = mixed.filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    rows = docs.join(materialise(taken, "taken"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = docs.join(small(materialise(taken, "taken")), F.col("doc_id").eqNullSafe(F.col("_id")))
     repeated = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select(*docs.columns)
 

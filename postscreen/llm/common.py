@@ -28,6 +28,11 @@ def parts_for(total: float, each: float) -> int:
     return max(1, -(-int(total) // int(each)))
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has at most ``rows`` of them."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def binary(batch, name: str) -> list[bytes]:
     """A column of an Arrow batch as Python bytes; null becomes empty."""
     return [v if v is not None else b"" for v in batch.column(name).to_pylist()]

@@ -11,26 +11,33 @@ from postscreen.session import materialise
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node that it reaches) of every node of ``edges``.
 
-    Each round, a node takes the smallest label among its own and its neighbours', and then the
-    label of that label; so chains shorten by half and a star is done in one round. Labels are
-    written to the shared folder each round, and only counts come to the driver.
+    Each round, every node takes the smallest node among itself and its neighbours, and then what that one
+    took; links are then drawn between what their ends took, and those within one node go. So
+    the links shrink from round to round, and a star is done in one. All tables are written to
+    the shared folder, and only counts come to the driver.
     """
-    both = edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
-    both = both.union(both.select("other", "node")).filter("node <> other").distinct()
-    both = materialise(both, "links")
-    labels = both.groupBy("node").agg(F.least("node", F.min("other")).alias("component"))
-    labels = materialise(labels, "labels")
+    links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
+    links = materialise(links, "links")
+    total = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "component"), "other")
-        near = near.groupBy("node").agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select(
-            "node", F.col("component").alias("before"), F.least("component", "near").alias("component")
-        )
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
-        after = lower.join(jump, "component", "left").select(
-            "node", "before", F.least("component", F.coalesce("beyond", "component")).alias("component")
-        )
-        after = materialise(after, "labels")
-        labels = after.drop("before")
-        if after.filter("component < before").isEmpty():
-            return labels
+        both = links.union(links.select("b", "a")).toDF("node", "other")
+        took = both.groupBy("node").agg(F.least("node", F.min("other")).alias("took"))
+        took = materialise(took, "took")
+        beyond = took.select(F.col("node").alias("took"), F.col("took").alias("beyond"))
+        took = took.join(beyond, "took").select("node", F.col("beyond").alias("took"))
+        took = materialise(took, "took")
+        if total is None:
+            total = took
+        else:
+            onward = took.select(F.col("node").alias("took"), F.col("took").alias("onward"))
+            total = total.join(onward, "took", "left").select(
+                "node", F.coalesce("onward", "took").alias("took")
+            )
+            total = materialise(total, "took")
+        links = (
+            links.join(took.toDF("a", "x"), "a").join(took.toDF("b", "y"), "b")
+            .filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        )
+        links = materialise(links, "links")
+        if links.isEmpty():
+            return total.withColumnRenamed("took", "component")

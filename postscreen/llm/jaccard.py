@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postscreen.llm.common import binary, parts_for
+from postscreen.llm.common import binary, parts_for, small
 from postscreen.llm.graph import components
 from postscreen.session import materialise
 
@@ -371,9 +371,9 @@ def join_large(members: DataFrame, rule: Rule) -> list[DataFrame]:
         inner = materialise(inner, "inner")
         sizes = inner.groupBy("group").agg(F.sum(F.size("hashes")).alias("total"))
         sizes = materialise(sizes, "totals")
-        small = inner.join(sizes.filter(F.col("total") <= FITS).select("group"), "group", "left_semi")
+        fitting = inner.join(sizes.filter(F.col("total") <= FITS).select("group"), "group", "left_semi")
         total = sizes.filter(F.col("total") <= FITS).agg(F.sum("total")).first()[0] or 0
-        out.append(join_local(small, parts_for(total, FITS), rule))
+        out.append(join_local(fitting, parts_for(total, FITS), rule))
         members = inner.join(sizes.filter(F.col("total") > FITS).select("group"), "group", "left_semi")
         if members.isEmpty():
             return out
@@ -403,7 +403,7 @@ def link(df: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame, Dat
     copies = keyed.select("key", "fp").join(again.select("fp", "rep"), "fp").filter("key <> rep").distinct()
     copies = materialise(copies, "copies")
 
-    firsts = keyed.filter(F.size("keys") > 0).join(copies.drop("rep"), ["key", "fp"], "left_anti")
+    firsts = keyed.filter(F.size("keys") > 0).join(small(copies.drop("rep")), ["key", "fp"], "left_anti")
     slices = firsts.select(F.col("key").alias("node"), F.explode("keys").alias("slice"))
     together = Window.partitionBy("slice")
     pairs = (
@@ -418,11 +418,11 @@ def link(df: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame, Dat
     texts = df.select(F.col(key).cast("long").alias("node"), F.col(text).cast("binary").alias("raw"))
 
     def members(of: DataFrame) -> DataFrame:
-        return sets(texts.join(of.select("group", "node"), "node"), rule).withColumn("open", F.lit(True))
+        return sets(texts.join(small(of.select("group", "node")), "node"), rule).withColumn("open", F.lit(True))
 
-    small, large = crowd.filter(F.col("total") <= FITS), crowd.filter(F.col("total") > FITS)
-    total = small.select("group", "total").distinct().agg(F.sum("total")).first()[0] or 0
-    found = [join_local(members(small), parts_for(total, FITS), rule)]
+    fitting, large = crowd.filter(F.col("total") <= FITS), crowd.filter(F.col("total") > FITS)
+    total = fitting.select("group", "total").distinct().agg(F.sum("total")).first()[0] or 0
+    found = [join_local(members(fitting), parts_for(total, FITS), rule)]
     if not large.isEmpty():
         found += join_large(materialise(members(large), "large"), rule)
     links = reduce(DataFrame.union, [x.select("a", "b") for x in found])
@@ -443,7 +443,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule
     Of rows that share a key one stays; rows without a key stay.
     """
     found = materialise(join(df, key, text, rule).select(F.col(key).alias("_key"), "component_id"), "groups")
-    away = found.filter("_key <> component_id").select("_key").distinct()
+    away = small(materialise(found.filter("_key <> component_id").select("_key").distinct(), "away"))
     kept = df.join(away, F.col(key) == F.col("_key"), "left_anti")
     if found.filter("_key is not null").groupBy("_key").count().filter("count > 1").isEmpty():
         return kept
