@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from postscreen.bindings.queries import LABEL, MIXED, SMILE, SPACES
 from postscreen.functions.text import EMOJI_RANGES, NA_VALUES, WHITE_SPACE, regex_class
-from postscreen.operators.features import FIRST_ID, MAX_TOKEN_CHARS
+from postscreen.operators.features import FIRST_ID
 
 
 def _text(value: str) -> str:
@@ -121,7 +121,7 @@ _TRAIN = f"{_LABELLED}, train AS (SELECT * FROM labelled WHERE NOT ({_IS_VAL}))"
 _VOCAB = f"""words AS (SELECT unnest({_tokens()}) AS token FROM train),
   ranked AS (
     SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS r
-    FROM words WHERE length(token) <= {MAX_TOKEN_CHARS} GROUP BY token),
+    FROM words GROUP BY token),
   vocab AS (SELECT token, (r + {FIRST_ID - 1})::INTEGER AS id FROM ranked
     WHERE r <= 30522 - {FIRST_ID})"""
 
@@ -374,11 +374,17 @@ ORACLE: dict[str, str] = {
       FROM vals GROUP BY construction""",
     "csv_round_trip": f"""SELECT doc_id, lang,
         CASE WHEN text NOT IN ({_NA}) THEN md5(text) END AS digest FROM documents""",
-    "tolerant_scan": """SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN lang END AS lang,
+    "csv_by_name": f"""SELECT doc_id,
+        CASE WHEN text NOT IN ({_NA}) THEN md5(text) END AS digest FROM documents""",
+    "tolerant_scan": f"""SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN lang END AS lang,
+        CASE WHEN doc_id % 5 <> 0 AND text NOT IN ({_NA}) THEN md5(text) END AS digest,
         (doc_id % 5 = 0)::INTEGER AS rejected FROM documents""",
+    "unlabelled_file": f"""SELECT 0 AS {LABEL}, count(*) AS rows, sum({_number("text")})::BIGINT AS text_sum
+        FROM documents WHERE doc_id % 5 <> 0""",
     "parts_round_trip": _parts(),
     "counts_round_trip": f"""WITH {_POSTS_ALL} SELECT {LABEL}, count(*) AS count FROM posts_all
       WHERE {LABEL} IS NOT NULL GROUP BY {LABEL}""",
     "model_round_trip": f"""WITH {_TRAIN}, {_bayes("nb", "train", "documents")}
       SELECT doc_id, pred, round(p1, 6) AS p1 FROM nb_scores""",
 }
+ORACLE["encode_joined"] = ORACLE["encode"]

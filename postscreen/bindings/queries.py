@@ -7,8 +7,9 @@ prediction where no model is needed. The tables hold no missing text, blank text
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +44,15 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
 
 
+def texts_and(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents with other columns, for heavy work on their texts."""
+    return spread(documents(spark, sf_dir).select("doc_id", "text", *columns), "doc_id")
+
+
 def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled documents, for heavy work on their texts."""
-    return spread(labelled(spark, sf_dir).select("doc_id", "text", LABEL), "doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias(LABEL))
+    return texts(spark, sf_dir).join(labels, "doc_id")
 
 
 def posts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,9 +329,9 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.build_vocab(_train_side(spark, sf_dir), "text")
 
 
-def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encode(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
     words = features.build_vocab(_train_side(spark, sf_dir), "text")
-    coded = features.encode(texts(spark, sf_dir), "text", words, "doc_id")
+    coded = features.encode(texts(spark, sf_dir), "text", words, **options)
     return coded.select(
         "doc_id",
         F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("ids"),
@@ -391,7 +398,7 @@ def error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lr_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = linear.fit_lr(_train_side(spark, sf_dir), "text", LABEL, max_iter=20)
+    model = linear.fit_lr(_train_side(spark, sf_dir), "text", LABEL)
     return linear.score_lr(model, texts(spark, sf_dir)).select("doc_id", "p1", "pred")
 
 
@@ -447,10 +454,10 @@ def build_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = dirty(spark, sf_dir).select("doc_id", "text")
+    raw = spread(dirty(spark, sf_dir).select("doc_id", "text"), "doc_id")
     labels = posts_all(spark, sf_dir).select("doc_id", LABEL)
     # Unlabelled posts stand for class 0.
-    df = spread(raw.join(labels, "doc_id").fillna(0, [LABEL]), "doc_id")
+    df = raw.join(labels, "doc_id").fillna(0, [LABEL])
     data = datasets.prepare(df, "doc_id", lowercase=True, exact=True)
     train = data.train.select(F.lit("train").alias("side"), "text", LABEL)
     val = data.val.select(F.lit("val").alias("side"), "text", LABEL)
@@ -491,17 +498,54 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "lang", F.md5("text").alias("digest"))
 
 
-def tolerant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records in which an unquoted value holds a delimiter are told apart from good ones."""
+def csv_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of a file that has them in another order, among others."""
+    path = new_table_path(spark, "csv")
+    posts.write_posts(documents(spark, sf_dir).select("source", "text", "n_chars", "doc_id"), path)
+    back = posts.read_posts(spark, path, "doc_id long, text string")
+    return back.select("doc_id", F.md5("text").alias("digest"))
+
+
+def _dirty_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Files of whole texts with stray quotes in an unquoted field; every fifth record has a field too many."""
     path = new_table_path(spark, "tolerant")
-    lang = F.when(F.col("doc_id") % 5 == 0, F.concat_ws(",", "lang", "source")).otherwise(F.col("lang"))
-    written = documents(spark, sf_dir).select("doc_id", lang.alias("lang"))
-    written.write.options(header=True, quote="\u0000").csv(path)
-    good, rejected = posts.read_tolerant(spark, path, "doc_id long, lang string")
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    stray = F.when(F.col("doc_id") % 7 == 0, 'it"s a "b').otherwise(F.col("source"))
+    excess = F.when(F.col("doc_id") % 5 == 0, "too many")
+    record = F.concat_ws(",", F.col("doc_id").cast("string"), stray, quoted, "lang", excess)
+
+    def with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("record", pa.string())])
+        yield pa.RecordBatch.from_pydict({"record": ["doc_id,source,text,lang"]}, schema=kind)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns, schema=kind)
+
+    rows = texts_and(spark, sf_dir, "source", "lang").select(record.alias("record"))
+    rows.mapInArrow(with_header, "record string").write.text(path)
+    return path
+
+
+def tolerant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a field too many are told apart from good ones, whole texts and all."""
+    good, rejected = posts.read_tolerant(
+        spark, _dirty_csv(spark, sf_dir), "lang string, text string, doc_id long"
+    )
+    none = F.lit(None).cast("string")
     bad_id = F.substring_index("record", ",", 1).cast("long")
-    return good.select("doc_id", "lang", F.lit(0).alias("rejected")).unionByName(
-        rejected.select(bad_id.alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.lit(1).alias("rejected"))
+    return good.select("doc_id", "lang", F.md5("text").alias("digest"), F.lit(0).alias("rejected")).unionByName(
+        rejected.select(bad_id.alias("doc_id"), none.alias("lang"), none.alias("digest"), F.lit(1).alias("rejected"))
+    )
+
+
+def unlabelled_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From file to file: read what is sound, label it 0, write, and read again."""
+    good, _ = posts.read_tolerant(
+        spark, _dirty_csv(spark, sf_dir), "doc_id long, text string", na_values=[]
     )
+    path = new_table_path(spark, "unlabelled")
+    posts.write_posts(datasets.build_unlabelled(good.withColumnRenamed("doc_id", "id")), path)
+    back = posts.read_posts(spark, path, f"id long, text string, {LABEL} int", na_values=[])
+    return _text_sums(back, [LABEL])
 
 
 def parts_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -566,6 +610,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tokens": token_counts,
     "vocab": vocab,
     "encode": encode,
+    "encode_joined": lambda spark, sf_dir: encode(spark, sf_dir, max_lookup=1),
     "nb_weights": nb_weights,
     "nb_predict": nb_predict,
     "nb_proba": nb_proba,
@@ -583,7 +628,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "build_unlabelled": build_unlabelled,
     "leaked": leaked,
     "csv_round_trip": csv_round_trip,
+    "csv_by_name": csv_by_name,
     "tolerant_scan": tolerant_scan,
+    "unlabelled_file": unlabelled_file,
     "parts_round_trip": parts_round_trip,
     "counts_round_trip": counts_round_trip,
     "model_round_trip": model_round_trip,

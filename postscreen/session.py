@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="postscreen-"))
         folder = context.getCheckpointDir()
@@ -58,10 +58,11 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows spread by ``key`` when the scan has fewer tasks than the session has cores.
+    """Rows spread by ``key`` when they come from fewer files than the session has cores.
 
     A Parquet file with a single row group is read by one task, which would also do all work on
-    its texts. A table of many files is returned as it is.
+    its texts. A table of many files is returned as it is. Only the list of files is looked at, so no job
+    runs; spread a scan before it is joined.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)

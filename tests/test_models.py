@@ -107,7 +107,7 @@ def test_vocabulary_order_and_size(spark):
     long = "x" * 101
     df = spark.createDataFrame([("b a a C",), ("c a " + long,), (None,)], "text string")
     vocab = features.build_vocab(df, "text")
-    assert [tuple(r) for r in vocab.orderBy("id").collect()] == [("a", 4), ("c", 5), ("b", 6)]
+    assert [tuple(r) for r in vocab.orderBy("id").collect()] == [("a", 4), ("c", 5), ("b", 6), (long, 7)]
     assert rows(features.build_vocab(df, "text", size=6)) == [("a", 4), ("c", 5)]
     assert features.build_vocab(df, "text", size=4).count() == 0
     assert features.build_vocab(df.filter("text is null"), "text").count() == 0
@@ -117,8 +117,8 @@ def test_vocabulary_order_and_size(spark):
 def test_encoding_by_lookup_and_by_join(posts, max_length):
     vocab = features.build_vocab(posts, "text", size=12).cache()
     ids = {r["token"]: r["id"] for r in vocab.collect()}
-    by_lookup = features.encode(posts, "text", vocab, "k", max_length)
-    by_join = features.encode(posts, "text", vocab, "k", max_length, max_lookup=1)
+    by_lookup = features.encode(posts, "text", vocab, max_length)
+    by_join = features.encode(posts, "text", vocab, max_length, max_lookup=1)
     columns = ["k", "input_ids", "attention_mask"]
     assert rows(by_lookup.select(columns)) == rows(by_join.select(columns))
     for r in by_lookup.collect():
@@ -134,7 +134,7 @@ def test_encoding_by_lookup_and_by_join(posts, max_length):
 
 def test_encoding_needs_room(posts):
     with pytest.raises(ValueError):
-        features.encode(posts, "text", features.build_vocab(posts, "text"), "k", 1)
+        features.encode(posts, "text", features.build_vocab(posts, "text"), 1)
 
 
 def test_linear_model_beats_the_majority(posts):
@@ -207,3 +207,26 @@ def test_models_survive_saving(spark, posts, tmp_path):
     save_model(spark, pipeline, f"{tmp_path}/lr")
     again = linear.score_lr(load_model(spark, f"{tmp_path}/lr"), filled)
     assert rows(again.select("k", "p1")) == rows(linear.score_lr(pipeline, filled).select("k", "p1"))
+
+
+def test_encode_keeps_rows_one_for_one(spark):
+    posts = spark.createDataFrame(
+        [(1, "a b"), (1, "b c"), (None, "a"), (2, None), (2, "zz")], "k long, text string"
+    )
+    vocab = features.build_vocab(posts, "text", size=7).cache()
+    looked = features.encode(posts, "text", vocab, 5).select("k", "input_ids", "attention_mask")
+    joined = features.encode(posts, "text", vocab, 5, max_lookup=1)
+    assert looked.count() == 5
+    assert rows(looked) == rows(joined.select("k", "input_ids", "attention_mask"))
+
+
+def test_long_tokens_are_in_the_vocabulary(spark):
+    posts = spark.createDataFrame([("x" * 5000,), ("x" * 5000,), ("b",)], "text string")
+    assert rows(features.build_vocab(posts, "text")) == [("b", 5), ("x" * 5000, 4)]
+
+
+def test_linear_model_takes_missing_texts(spark):
+    posts = spark.createDataFrame([("bad", 1), ("good", 0), (None, 0)] * 4, "text string, y int")
+    model = linear.fit_lr(posts, "text", "y", features=1 << 8)
+    scored = linear.score_lr(model, posts)
+    assert (scored.count(), scored.filter("p1 is null").count()) == (12, 0)

@@ -101,3 +101,41 @@ def test_counts_file(spark, tmp_path):
     write_counts(df, "depressive", f"{tmp_path}/counts")
     (path,) = (tmp_path / "counts").glob("*.csv")
     assert path.read_text().splitlines() == ["depressive,count", "0,5", "1,2"]
+
+
+def test_columns_are_taken_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("text,other,id\nhello,zzz,7\n")
+    assert rows(read_posts(spark, f"{tmp_path}/a.csv", "id long, text string")) == [(7, "hello")]
+    good, rejected = read_tolerant(spark, f"{tmp_path}/a.csv", "id long, text string")
+    assert (rows(good), rejected.count()) == ([(7, "hello")], 0)
+    for read in (read_posts, read_tolerant):
+        with pytest.raises(ValueError, match="missing columns: author"):
+            read(spark, f"{tmp_path}/a.csv", "id long, author string")
+
+
+def test_files_with_other_headers_raise(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,text\n1,one\n")
+    (tmp_path / "b.csv").write_text("text,id\ntwo,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_posts(spark, str(tmp_path), "id long, text string").collect()
+
+
+def test_stray_quotes_cut_nothing_short(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,text\n1,it"s\n2,it"s, a "b\n3,,extra\n4,a"b,c,d"e\n5,"""q"", s"\n6\n')
+    good, rejected = read_tolerant(spark, f"{tmp_path}/a.csv", "id long, text string")
+    assert rows(good) == [(1, 'it"s'), (5, '"q", s'), (6, None)]
+    assert sorted(r["record"][0] for r in rejected.collect()) == ["2", "3", "4"]
+
+
+def test_a_long_malformed_record_is_read(spark, tmp_path):
+    long = "x, " * 50_000
+    (tmp_path / "a.csv").write_text(f'id,text,more\n1,"{long}"\n2,"{long}",a,b\n3,c,d\n')
+    good, rejected = read_tolerant(spark, f"{tmp_path}/a.csv", "id long, text string")
+    assert [(r[0], len(r[1])) for r in rows(good)] == [(1, len(long)), (3, 1)]
+    assert rejected.count() == 1
+
+
+def test_single_line_files_split(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,text\n1,one\n2,two\n")
+    got = read_posts(spark, f"{tmp_path}/a.csv", "id long, text string", multi_line=False)
+    assert rows(got) == [(1, "one"), (2, "two")]
