@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents of the training folds, and drops what it predicts."""
     rows = toxicity.training_rows(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
     model = toxicity.fit(rows, "text", "label")
-    scored = toxicity.score(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, "text", model)
-    return scored.filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    scored = toxicity.score(docs, "text", model, "_toxic")
+    return scored.filter(F.col("_toxic") < THRESHOLD).select(*docs.columns)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

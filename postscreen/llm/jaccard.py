@@ -262,7 +262,7 @@ def _distances(members: DataFrame, pivots: DataFrame, rule: Rule) -> DataFrame:
     salts = materialise(salts.withColumn("salts", F.ceil(F.col("total") / F.lit(FITS)).cast("int")), "salts")
     left = members.join(salts.drop("total"), "group").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
     right = packed.join(salts.drop("total"), "group")
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).cast("long")).drop("salts")
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1))).drop("salts")
 
     def run(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         out = {"group": rows["group"], "node": rows["node"], "open": rows["open"]}

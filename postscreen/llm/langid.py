@@ -129,11 +129,13 @@ def _log_likelihood(texts: list[str], log_prob: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(df: DataFrame, text: str, model: LanguageModel) -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``, the posterior of that language."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    schema = df.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+def predict(
+    df: DataFrame, text: str, model: LanguageModel, language: str = "lang_pred", posterior: str = "score"
+) -> DataFrame:
+    """``df`` with ``language`` and ``posterior``; columns of these names are replaced."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    df = df.drop(language, posterior)
+    schema = df.withColumns({language: F.lit(""), posterior: F.lit(0.0)}).schema
     flagged = df.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +156,7 @@ def predict(df: DataFrame, text: str, model: LanguageModel) -> DataFrame:
                 best[rows] = share[np.arange(len(rows)), top]
             kept = batch.drop_columns(["_letters"])
             arrays = [*kept.columns, pa.array(names, pa.string()), pa.array(best)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept.schema.names, language, posterior])
 
     return flagged.mapInArrow(score, schema)
 
@@ -173,5 +175,6 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def keep_identified(df: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``df`` whose text has a language, by a posterior of ``least`` or more."""
-    kept = predict(df, text, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    found = predict(df, text, model, "_language", "_posterior")
+    kept = found.filter((F.col("_language") != UNKNOWN) & (F.col("_posterior") >= least))
     return kept.select(*df.columns)

@@ -189,9 +189,10 @@ def align(file: list[bytes], index: Index, least: float = 0.8, slack: int = 3) -
 def scan(df: DataFrame, text: str, index: Index | None = None) -> DataFrame:
     """``df`` with ``n_words``, ``places`` (label, base, start, score of each alignment).
 
-    The other columns are kept as they are.
+    Other columns are kept as they are.
     """
     index = index or build_index(df, text)
+    df = df.drop("n_words", "places")
     shared = df.sparkSession.sparkContext.broadcast(index)
     place = "array<struct<label:string,base:boolean,start:bigint,score:double>>"
     kept = df.withColumn("_raw", F.col(text).cast("binary"))

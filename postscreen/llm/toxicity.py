@@ -351,12 +351,12 @@ def smoothed(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     return {k: math.floor(v * 1e6) / 1e6 for k, v in out.items()}
 
 
-def score(df: DataFrame, text: str, model: ToxicityModel) -> DataFrame:
-    """``df`` with ``score``, 0 to 1."""
+def score(df: DataFrame, text: str, model: ToxicityModel, name: str = "score") -> DataFrame:
+    """``df`` with the score, 0 to 1, as column ``name``; a column of that name is replaced."""
     if not model.entries:
-        return df.withColumn("score", F.lit(model.scores.get("", 0.0)))
+        return df.withColumn(name, F.lit(model.scores.get("", 0.0)))
     known = F.create_map(*[F.lit(x) for kv in sorted(model.scores.items()) for x in kv])
-    return _kinds(df, text, model.entries, model.other).withColumn("score", known[F.col("_kind")]).drop("_kind")
+    return _kinds(df, text, model.entries, model.other).withColumn(name, known[F.col("_kind")]).drop("_kind")
 
 
 def training_rows(
