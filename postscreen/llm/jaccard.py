@@ -7,7 +7,9 @@ space is first cut, without loss, into crowds that cannot link to one another:
 * Two sets that link differ in at most D shingles, D being a known share of the smaller set. Cut
   the space of shingle hashes into more than D slices: each differing shingle spoils one slice, so at least one non-empty
   slice is equal in both. Sets that share no slice with another are linked with nothing; the
-  others fall into crowds by the slices that they share.
+  others fall into crowds by the slices that they share. Each task keeps one document for a slice and
+  tells the crowds that it sees itself, so that a slice which is in a third of all
+  documents leaves a task once.
 
 Each crowd is then joined by pivots. In a crowd that fits a task, pivots are taken one by one:
 a pivot's distance to every member is computed, members within the radius are linked, and a member
@@ -18,7 +20,8 @@ triangle inequality gives a window of distances to all pivots in which the partn
 that members of other regions near the border are replicated into it. Regions that fit a task are joined there,
 others go to the next level, and what is still too large after the last level is joined in blocks of open members against blocks of all.
 
-Shingles are compared by 64-bit hashes, slices and equal sets by 64 and 128 bits. Text is in words
+Shingles are compared by 64-bit hashes, equal sets by 128 bits and slices by 40 bits and their bucket; slices
+that are taken for equal by chance only make a crowd larger. Text is in words
 between ASCII white space, with A-Z lower-cased.
 
 Defined results: null and empty texts, and texts of no words, have the empty set and are linked with
@@ -120,23 +123,23 @@ def slice_keys(hashes: np.ndarray, rule: Rule, classes: dict[int, tuple]) -> np.
     """Keys of the non-empty slices of a set; two sets that link share one.
 
     A set has slices for its class of sizes, and, if it can link with a set of the class below, for
-    that too. The argument needs more non-empty slices than shingles that may differ; while
-    there are not, the set is cut into twice as many as well.
+    that too. The argument needs more non-empty slices than shingles that may differ, which is
+    what the smaller set allows; there are a few slices more than that, as some are empty, and while
+    they don't suffice, the set is cut into twice as many as well.
     """
     n = len(hashes)
-    spare = rule.differ(n)
-    if not spare:
-        return np.empty(0, np.int64)  # it links with equal sets only
+    if not rule.differ(n):
+        return np.empty(0, np.uint64)  # it links with equal sets only
     if n not in classes:
         number, low, high = size_class(n, rule)
-        own = [(number, high)]
+        own = [(number, high, n)]
         if number and (low - 1) * rule.den >= n * rule.num:
-            own.append((number - 1, low))
-        classes[n] = tuple((c, rule.differ(h - 1) + 2) for c, h in own)
+            own.append((number - 1, low, low - 1))
+        classes[n] = tuple((c, rule.differ(h - 1) * 107 // 100 + 2, rule.differ(smaller)) for c, h, smaller in own)
     mixed = _mix(hashes)
     top = hashes >> np.uint64(32)
     out = []
-    for number, m in classes[n]:
+    for number, m, spare in classes[n]:
         while True:
             part = (top * np.uint64(m)) >> np.uint64(32)
             starts = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1)))
@@ -146,32 +149,129 @@ def slice_keys(hashes: np.ndarray, rule: Rule, classes: dict[int, tuple]) -> np.
             if len(starts) > spare:
                 break
             m *= 2
-    return np.unique(np.concatenate(out)).view(np.int64)
+    return np.unique(np.concatenate(out))
 
 
 def prints(df: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
-    """key, n_shingles, fp (128 bits of the set) and the keys of its slices, for each row."""
-    kind = "key long, n_shingles long, fp binary, keys array<long>"
+    """key, n_shingles and fp (128 bits of the set) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, classes = Shingler(rule.words), {}
+        shingles = Shingler(rule.words)
         for batch in batches:
-            sizes, fps, keys = [], [], []
+            sizes, fps = [], []
             for raw in binary(batch, "raw"):
                 s = shingles(raw)
                 sizes.append(len(s))
                 fps.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                keys.append(slice_keys(s, rule, classes))
-            offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), lists],
-                names=["key", "n_shingles", "fp", "keys"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary())],
+                names=["key", "n_shingles", "fp"],
             )
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("raw"))
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(run, "key long, n_shingles long, fp binary")
+
+
+# --- crowds ------------------------------------------------------------------------------------
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs ``a``, ``b`` contracted: each node but the smallest of its component, with the smallest."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while (label[x] != label[y]).any():
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (label != label[label]).any():
+            label = label[label]
+    beyond = label != np.arange(len(nodes))
+    return nodes[beyond], nodes[label[beyond]]
+
+
+def meet(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once with its smallest node, and pairs that join the nodes which share keys."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = nodes[new][np.cumsum(new) - 1]
+    shared = nodes != first
+    return keys[new], nodes[new], *stars(nodes[shared], first[shared])
+
+
+# Slice keys that a task gathers before it hands them on, and that a bucket holds.
+GATHER = 2_000_000
+LOW_BITS = np.uint64((1 << 40) - 1)
+
+
+def _dealt(keys: list[np.ndarray], nodes: list[int], n_buckets: int) -> pa.RecordBatch:
+    """Rows of one bucket each: slices with their documents, or pairs that are known to share a slice."""
+    owner = np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])
+    flat, owner, a, b = meet(np.concatenate(keys), owner)
+    bucket = ((flat >> np.uint64(40)) * np.uint64(n_buckets)) >> np.uint64(24)
+    order = np.lexsort((owner, bucket))
+    flat, owner, bucket = flat[order] & LOW_BITS, owner[order], bucket[order]
+    # Five bytes a slice, and for each document of a bucket how many of them are its own.
+    packed = flat.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    change = np.ones(len(flat), bool)
+    change[1:] = (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(change)
+    counts, heads, of = np.diff(at, append=len(flat)), owner[at], bucket[at]
+    rows = []
+    numbers, begin = np.unique(of, return_index=True)
+    for number, i, j in zip(numbers, begin, [*begin[1:], len(of)], strict=True):
+        cut = packed[at[i] : at[j] if j < len(at) else len(flat)]
+        rows.append((int(number), heads[i:j], counts[i:j], cut.tobytes()))
+    for i in range(0, len(a), 1000):
+        both = np.concatenate([a[i : i + 1000], b[i : i + 1000]])
+        rows.append((int(xxhash.xxh3_64_intdigest(both.tobytes()) % n_buckets), both, None, None))
+    names = ["bucket", "nodes", "counts", "keys"]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _met(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, b) of one bucket, b the smallest document that the bucket joins with a."""
+    told = pdf[pdf["keys"].isna()]
+    pairs = [np.asarray(x).reshape(2, -1) for x in told["nodes"]]
+    rows = pdf[pdf["keys"].notna()]
+    if len(rows):
+        packed = np.frombuffer(b"".join(rows["keys"]), np.uint8).reshape(-1, 5)
+        keys = np.zeros((len(packed), 8), np.uint8)
+        keys[:, :5] = packed
+        owner = np.repeat(np.concatenate(list(rows["nodes"])), np.concatenate(list(rows["counts"])))
+        pairs.append(np.stack(meet(keys.view("<u8").ravel(), owner)[2:]))
+    a, b = stars(*np.concatenate(pairs, axis=1))
+    return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+
+def sharing(df: DataFrame, key: str, text: str, rule: Rule, n_buckets: int) -> DataFrame:
+    """Pairs (a, b) that join the documents which share a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, classes = Shingler(rule.words), {}
+        keys, nodes, held = [], [], 0
+        for batch in batches:
+            for node, raw in zip(batch.column("node").to_pylist(), binary(batch, "raw"), strict=True):
+                found = slice_keys(shingles(raw), rule, classes)
+                if len(found):
+                    keys.append(found)
+                    nodes.append(node)
+                    held += len(found)
+                if held >= GATHER:
+                    yield _dealt(keys, nodes, n_buckets)
+                    keys, nodes, held = [], [], 0
+        if held:
+            yield _dealt(keys, nodes, n_buckets)
+
+    rows = df.select(F.col(key).cast("long").alias("node"), F.col(text).cast("binary").alias("raw"))
+    dealt = rows.filter("node is not null").mapInArrow(
+        run, "bucket long, nodes array<long>, counts array<long>, keys binary"
+    )
+    return dealt.groupBy("bucket").applyInPandas(_met, "a long, b long").distinct()
 
 
 def sets(df: DataFrame, rule: Rule) -> DataFrame:
@@ -400,20 +500,22 @@ def link(df: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame, Dat
     rows = materialise(prints(df, key, text, rule), "prints")
     keyed = rows.filter("key is not null and fp is not null")
     again = keyed.groupBy("fp").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = keyed.select("key", "fp").join(again.select("fp", "rep"), "fp").filter("key <> rep").distinct()
-    copies = materialise(copies, "copies")
-
-    firsts = keyed.filter(F.size("keys") > 0).join(small(copies.drop("rep")), ["key", "fp"], "left_anti")
-    slices = firsts.select(F.col("key").alias("node"), F.explode("keys").alias("slice"))
-    together = Window.partitionBy("slice")
-    pairs = (
-        slices.withColumn("first", F.min("node").over(together))
-        .filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    )
-    pairs = materialise(pairs, "sharing")
-    crowds = components(pairs)
-    sizes = rows.select(F.col("key").alias("node"), "n_shingles")
-    weights = crowds.join(sizes, "node").groupBy("component").agg(F.sum("n_shingles").alias("total"))
+    copies = keyed.join(small(materialise(again.select("fp", "rep"), "again")), "fp").filter("key <> rep")
+    copies = materialise(copies.select("key", "rep").distinct(), "copies")
+
+    conf = df.sparkSession.conf
+    amount = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    slices = 2 * amount * (rule.den - rule.num) / rule.num
+    pairs = sharing(df, key, text, rule, max(parts_for(slices, GATHER), int(conf.get("spark.sql.shuffle.partitions"))))
+    # A document all of whose texts are copies of others' leaves its links to those.
+    mixed = F.min(F.xxhash64("fp")) != F.max(F.xxhash64("fp"))
+    several = keyed.groupBy("key").agg(mixed.alias("mixed")).filter("mixed").select("key")
+    away = copies.select("key").distinct().join(several, "key", "left_anti").withColumnRenamed("key", "node")
+    crowds = components(pairs).join(small(materialise(away, "away")), "node", "left_anti")
+    sizes = rows.filter("key is not null").groupBy(F.col("key").alias("node")).agg(F.sum("n_shingles").alias("n_shingles"))
+    crowds = materialise(crowds.join(sizes, "node"), "crowds")
+    weights = crowds.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    weights = small(materialise(weights.select("component", "total"), "weights"))
     crowd = materialise(crowds.join(weights, "component").select(F.col("component").alias("group"), "node", "total"), "crowds")
     texts = df.select(F.col(key).cast("long").alias("node"), F.col(text).cast("binary").alias("raw"))
 
