@@ -157,8 +157,8 @@ def _cleaned(text: str, source: str) -> str:
 
 def _parts(name: str = "part") -> str:
     return f"""SELECT (r - 1) // 500 + 1 AS {name}, count(*) AS rows, min(doc_id) AS first_id,
-      max(doc_id) AS last_id
-    FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) GROUP BY 1"""
+      max(doc_id) AS last_id, sum({_number('text')})::BIGINT AS text_sum
+    FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS r FROM documents) GROUP BY 1"""
 
 
 def _errors(truth: int, pred: int, relabel: bool = True, distinct: bool = True) -> str:
@@ -217,7 +217,7 @@ ORACLE: dict[str, str] = {
     "dedup_then_filter": f"""SELECT doc_id, 1 AS {LABEL}
       FROM ({_first("documents")}) WHERE source >= 'src5'""",
     "head_rows": "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 20",
-    "with_ordinal": """SELECT doc_id, n_chars,
+    "with_ordinal": """SELECT doc_id, n_chars, md5(text) AS digest,
         row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS ord FROM documents""",
     "number_parts": _parts(),
     "profile": f"WITH {_POSTS_ALL} "
@@ -253,21 +253,21 @@ ORACLE: dict[str, str] = {
     "outcome_summary": f"""WITH {_SCORED}
       SELECT {_OUTCOME} AS kind, count(*) AS rows, count(DISTINCT text) AS distinct_texts
       FROM scored WHERE {_OUTCOME} IS NOT NULL GROUP BY 1""",
-    "split_bucket": f"""SELECT doc_id, CASE WHEN {_IS_VAL} THEN 'val' ELSE 'train' END AS side
+    "split_bucket": f"""SELECT doc_id, md5(text) AS digest, CASE WHEN {_IS_VAL} THEN 'val' ELSE 'train' END AS side
       FROM documents""",
-    "split_exact": f"""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {_HASH}, doc_id)
+    "split_exact": f"""SELECT doc_id, md5(text) AS digest, CASE WHEN row_number() OVER (ORDER BY {_HASH}, doc_id)
         <= ceil(0.2 * (SELECT count(*) FROM documents)) THEN 'val' ELSE 'train' END AS side
       FROM documents""",
     "oversample_even": f"""WITH {_LABELLED},
       sized AS (
-        SELECT doc_id, {LABEL}, count(*) OVER (PARTITION BY {LABEL}) AS size,
+        SELECT doc_id, {LABEL}, md5(text) AS digest, count(*) OVER (PARTITION BY {LABEL}) AS size,
           row_number() OVER (PARTITION BY {LABEL} ORDER BY {_HASH}, doc_id) AS r FROM labelled),
       largest AS (SELECT max(size) AS n FROM sized)
-      SELECT doc_id, {LABEL}, unnest(range(1, n // size + (r <= n % size)::INTEGER + 1)) AS copy
+      SELECT doc_id, {LABEL}, digest, unnest(range(1, n // size + (r <= n % size)::INTEGER + 1)) AS copy
       FROM sized, largest""",
     "oversample_bootstrap": f"""WITH {_LABELLED},
       sized AS (
-        SELECT doc_id, {LABEL}, count(*) OVER (PARTITION BY {LABEL}) AS size,
+        SELECT doc_id, {LABEL}, md5(text) AS digest, count(*) OVER (PARTITION BY {LABEL}) AS size,
           row_number() OVER (PARTITION BY {LABEL} ORDER BY {_HASH}, doc_id) - 1 AS r
         FROM labelled),
       classes AS (SELECT DISTINCT {LABEL}, size, max(size) OVER () AS n FROM sized),
@@ -275,10 +275,10 @@ ORACLE: dict[str, str] = {
       hits AS (
         SELECT {LABEL}, {_number(f"'42:' || {LABEL} || ':' || i", 15)} % size AS r,
           count(*) AS k FROM draws GROUP BY 1, 2)
-      SELECT doc_id, {LABEL}, unnest(range(1, coalesce(k, 0) + 2)) AS copy
+      SELECT doc_id, {LABEL}, digest, unnest(range(1, coalesce(k, 0) + 2)) AS copy
       FROM sized LEFT JOIN hits USING ({LABEL}, r)""",
-    "shuffle": "SELECT doc_id, lang FROM documents ORDER BY md5('42:0:' || doc_id), doc_id",
-    "shuffle_batches": """SELECT doc_id,
+    "shuffle": "SELECT doc_id, lang, md5(text) AS digest FROM documents ORDER BY md5('42:0:' || doc_id), doc_id",
+    "shuffle_batches": """SELECT doc_id, md5(text) AS digest,
         (row_number() OVER (ORDER BY md5('42:0:' || doc_id), doc_id) - 1) // 8 AS batch
       FROM documents""",
     "tokens": f"""SELECT doc_id, len({_tokens()})::INTEGER AS n_tokens,
@@ -326,6 +326,13 @@ ORACLE: dict[str, str] = {
       {_bayes("nb", "train", "labelled", keep=f"{LABEL}, text,")}
       SELECT {_OUTCOME} AS kind, count(*) AS rows, count(DISTINCT text) AS distinct_texts
       FROM nb_scores WHERE pred <> {LABEL} GROUP BY 1""",
+    "error_files": f"""WITH {_TRAIN},
+      {_bayes("nb", "train", "labelled", keep=f"{LABEL}, text,")},
+      firsts AS (
+        SELECT *, row_number() OVER (PARTITION BY {LABEL}, text ORDER BY doc_id) AS place
+        FROM nb_scores WHERE pred <> {LABEL})
+      SELECT {_OUTCOME} AS kind, doc_id, md5(text) AS digest, 1 - {LABEL} AS {LABEL}
+      FROM firsts WHERE place = 1""",
     "external_score": """WITH p AS (
         SELECT doc_id, 1 / (1 + exp(-(length(text) - 1500.0) / 1000.0)) AS p1 FROM documents)
       SELECT doc_id, round(p1, 6) AS p1, (p1 > 0.5)::INTEGER AS pred FROM p""",

@@ -185,13 +185,18 @@ def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.head(rows, ["doc_id"], 20)
 
 
+def _digested(df: DataFrame) -> DataFrame:
+    """The whole text told by its digest."""
+    return df.withColumn("digest", F.md5("text")).drop("text")
+
+
 def with_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select("doc_id", "n_chars")
-    return ordinal.with_ordinal(rows, ["n_chars", "doc_id"])
+    rows = documents(spark, sf_dir).select("doc_id", "n_chars", "text")
+    return _digested(ordinal.with_ordinal(rows, ["n_chars", "doc_id"]))
 
 
 def number_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select("doc_id")
+    rows = documents(spark, sf_dir).select("doc_id", "text")
     return (
         ordinal.number_parts(rows, ["doc_id"], 500)
         .groupBy("part")
@@ -199,6 +204,7 @@ def number_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count(F.lit(1)).alias("rows"),
             F.min("doc_id").alias("first_id"),
             F.max("doc_id").alias("last_id"),
+            F.sum(text_number(F.col("text"))).alias("text_sum"),
         )
     )
 
@@ -282,30 +288,30 @@ def outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.split(documents(spark, sf_dir).select("doc_id"), "doc_id")
+    return _digested(sampling.split(documents(spark, sf_dir).select("doc_id", "text"), "doc_id"))
 
 
 def split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select("doc_id")
-    return sampling.split(rows, "doc_id", exact=True)
+    rows = documents(spark, sf_dir).select("doc_id", "text")
+    return _digested(sampling.split(rows, "doc_id", exact=True))
 
 
 def oversample_even(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = labelled(spark, sf_dir).select("doc_id", LABEL)
-    return sampling.oversample(df, LABEL, "doc_id")
+    df = labelled_texts(spark, sf_dir).select("doc_id", LABEL, "text")
+    return _digested(sampling.oversample(df, LABEL, "doc_id"))
 
 
 def oversample_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = labelled(spark, sf_dir).select("doc_id", LABEL)
-    return sampling.oversample(df, LABEL, "doc_id", mode="bootstrap")
+    df = labelled_texts(spark, sf_dir).select("doc_id", LABEL, "text")
+    return _digested(sampling.oversample(df, LABEL, "doc_id", mode="bootstrap"))
 
 
 def shuffle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.shuffle(documents(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    return _digested(sampling.shuffle(documents(spark, sf_dir).select("doc_id", "lang", "text"), "doc_id"))
 
 
 def shuffle_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.shuffled_batches(documents(spark, sf_dir).select("doc_id"), "doc_id")
+    return _digested(sampling.shuffled_batches(documents(spark, sf_dir).select("doc_id", "text"), "doc_id"))
 
 
 # --- tokens, models ----------------------------------------------------------------------------
@@ -397,6 +403,20 @@ def error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.error_report(_bayes(spark, sf_dir), df, "doc_id").summary
 
 
+def error_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error sets of a model written under its name, and read back."""
+    found = training.error_report(_bayes(spark, sf_dir), labelled_texts(spark, sf_dir), "doc_id")
+    path = new_table_path(spark, "errors")
+    training.write_error_report(found, path, "bayes")
+    kinds = {"false_positive": "false_positives", "false_negative": "false_negatives"}
+    sides = [
+        posts.read_posts(spark, f"{path}/bayes/{name}", f"doc_id long, text string, {LABEL} int")
+        .select(F.lit(kind).alias("kind"), "doc_id", F.md5("text").alias("digest"), LABEL)
+        for kind, name in kinds.items()
+    ]
+    return sides[0].unionByName(sides[1])
+
+
 def lr_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = linear.fit_lr(_train_side(spark, sf_dir), "text", LABEL)
     return linear.score_lr(model, texts(spark, sf_dir)).select("doc_id", "p1", "pred")
@@ -550,13 +570,15 @@ def unlabelled_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parts_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "parts")
-    rows = documents(spark, sf_dir).select("doc_id", "lang")
+    rows = documents(spark, sf_dir).select("doc_id", "lang", "text")
     posts.write_parts(rows, path, ["doc_id"], 500, "documents")
-    back = spark.read.schema("doc_id long, lang string, documents_part long").csv(path, header=True)
+    kind = "doc_id long, lang string, text string, documents_part long"
+    back = spark.read.schema(kind).csv(path, header=True, multiLine=True, quote='"', escape='"')
     return back.groupBy(F.col("documents_part").alias("part")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.min("doc_id").alias("first_id"),
         F.max("doc_id").alias("last_id"),
+        F.sum(text_number(F.col("text"))).alias("text_sum"),
     )
 
 
@@ -619,6 +641,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "metrics_by_step": metrics_by_step,
     "compare_models": compare_models,
     "error_report": error_report,
+    "error_files": error_files,
     "lr_predict": lr_predict,
     "meta_predict": meta_predict,
     "external_score": external_score,

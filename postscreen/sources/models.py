@@ -6,6 +6,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from postscreen.operators.bayes import NaiveBayesModel
+from postscreen.operators.stacked import StackedModel
+
+Model = NaiveBayesModel | PipelineModel | StackedModel
 
 _FIGURES = (
     "log_prior array<double>, vocabulary long, vocabulary_bytes long, token_total long, "
@@ -13,9 +16,13 @@ _FIGURES = (
 )
 
 
-def save_model(spark: SparkSession, model: NaiveBayesModel | PipelineModel, path: str) -> None:
+def save_model(spark: SparkSession, model: Model, path: str) -> None:
     """Write a model, replacing what is there, with a note of its kind."""
-    if isinstance(model, NaiveBayesModel):
+    if isinstance(model, StackedModel):
+        kind = "stacked"
+        for part in ("bayes", "linear", "meta"):
+            save_model(spark, getattr(model, part), f"{path}/{part}")
+    elif isinstance(model, NaiveBayesModel):
         kind = "bayes"
         model.weights.write.mode("overwrite").parquet(f"{path}/weights")
         figures = (
@@ -34,9 +41,11 @@ def save_model(spark: SparkSession, model: NaiveBayesModel | PipelineModel, path
     spark.createDataFrame([(kind,)], "value string").write.mode("overwrite").text(f"{path}/kind")
 
 
-def load_model(spark: SparkSession, path: str) -> NaiveBayesModel | PipelineModel:
+def load_model(spark: SparkSession, path: str) -> Model:
     """The model saved under ``path``, whatever its kind."""
     kind = spark.read.text(f"{path}/kind").first()["value"]
+    if kind == "stacked":
+        return StackedModel(*(load_model(spark, f"{path}/{part}") for part in ("bayes", "linear", "meta")))
     if kind == "pipeline":
         return PipelineModel.load(f"{path}/pipeline")
     figures = spark.read.schema(_FIGURES).parquet(f"{path}/figures").first()

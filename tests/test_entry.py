@@ -7,6 +7,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import SMALL, frame, views
+from postscreen.bindings.oracle import ORACLE
+from postscreen.bindings.queries import QUERIES
 
 WITHOUT_SQL = {"lr_predict", "meta_predict"}
 
@@ -23,7 +25,7 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql_unless_it_trains_iteratively():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
@@ -44,7 +46,7 @@ def test_scores_of_iterative_models(spark, name):
 
 @pytest.mark.parametrize(
     "name,columns",
-    [("split_bucket", "doc_id:bigint"), ("box_outliers", "lang:string"), ("head_rows", "doc_id:bigint,lang:string,source:string")],
+    [("split_bucket", "doc_id:bigint,text:string"), ("box_outliers", "lang:string"), ("head_rows", "doc_id:bigint,lang:string,source:string")],
 )
 def test_scans_read_only_what_they_need(spark, name, columns):
     plan = queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()

@@ -6,6 +6,8 @@ from postscreen.operators import bayes
 from postscreen.operators.errors import leaked
 from postscreen.operators.report import value_counts
 from postscreen.plans import datasets, training
+from postscreen.sources import models
+from postscreen.sources.posts import read_posts
 from tests.conftest import layouts, rows
 
 
@@ -126,6 +128,25 @@ def test_stacking(posts, in_sample):
     assert trained.metrics.first()["accuracy"] > 0.6
 
 
+def test_stacked_model_is_of_two_kinds_saved_and_scores_posts(spark, posts, tmp_path):
+    lowered = posts.withColumn("text", F.lower("text"))
+    data = datasets.prepare(lowered, "id", lowercase=True)
+    features = training.meta_features(data, "id").toPandas()
+    assert len(features) == data.weighted.count()
+    assert (features["p_a"] != features["p_b"]).mean() > 0.9
+    trained = training.train_stacked(data, "id")
+    models.save_model(spark, trained.model, f"{tmp_path}/model")
+    again = models.load_model(spark, f"{tmp_path}/model")
+    want = {r["id"]: round(r["p1"], 9) for r in trained.scores.collect()}
+    got = training.score_posts(again, data.val, "id").collect()
+    assert {r["id"]: round(r["p1"], 9) for r in got} == want
+    report = training.error_report(again, lowered.select("id", "text", "depressive"), "id")
+    training.write_error_report(report, str(tmp_path / "errors"), "stacked")
+    for name, kind in (("false_positives", 1), ("false_negatives", 0)):
+        back = read_posts(spark, f"{tmp_path}/errors/stacked/{name}", "id long, text string, depressive int")
+        assert back.count() == getattr(report, name).count() and back.filter(F.col("depressive") != kind).isEmpty()
+
+
 def test_unknown_kind(posts):
     with pytest.raises(ValueError):
         training.train(datasets.Prepared(posts, posts, posts, posts), "id", "other")
