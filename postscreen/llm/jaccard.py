@@ -50,7 +50,7 @@ from postscreen.session import materialise
 
 _UPPER = bytes(range(256)).lower()
 # Shingles that one task may hold, and pivots for each region and level.
-FITS = 1_000_000
+FITS = 6_000_000
 PIVOTS = 16
 LEVELS = 3
 
@@ -296,15 +296,25 @@ def _shared(hashes: np.ndarray, starts: np.ndarray, pivot: np.ndarray) -> np.nda
     return np.add.reduceat((pivot[at] == hashes).astype(np.int64), starts)
 
 
+def inverted(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of the sets, where each one's list starts, and the lists of the sets that hold it."""
+    hashes = np.concatenate(found)
+    order = np.argsort(hashes, kind="stable")
+    holders = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found])[order]
+    hashes = hashes[order]
+    starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    return hashes[starts], np.append(starts, len(hashes)), holders
+
+
 def local_links(found: list[np.ndarray], open_: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
     """Links that join the sets into their components.
 
-    Sets that are not open are known to be in one component with one another. Pivots are open
-    sets outside the main component, until it alone has sets that have not been a pivot.
+    Sets that are not open are known to be in one component with one another. A pivot's
+    intersections with all sets are counted along the lists of its shingles. Pivots are open sets outside the main component, until it alone has sets that have not been a pivot.
     """
     n = len(found)
     sizes = np.array([len(s) for s in found])
-    hashes, starts = np.concatenate(found), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    distinct, starts, holders = inverted(found)
     comp = np.where(open_, np.arange(n), n)
     waiting = open_.copy()
     links = []
@@ -319,7 +329,8 @@ def local_links(found: list[np.ndarray], open_: np.ndarray, rule: Rule) -> list[
             break
         p = todo[0]
         waiting[p] = False
-        both = _shared(hashes, starts, found[p])
+        lists = np.searchsorted(distinct, found[p])
+        both = np.bincount(np.concatenate([holders[starts[i] : starts[i + 1]] for i in lists]), minlength=n)
         near = np.flatnonzero(rule.den * both >= rule.num * (sizes + sizes[p] - both))
         near = near[comp[near] != comp[p]]
         if len(near):
@@ -466,6 +477,12 @@ def join_large(members: DataFrame, rule: Rule) -> list[DataFrame]:
         left = materialise(left.distinct(), "left")
         if left.isEmpty():
             return out
+        placed, total = members.agg(F.count(F.lit(1)), F.sum(F.size("hashes"))).first()
+        if left.count() > placed * parts_for(total, FITS // 2):
+            # The pivots hardly divide these members: blocks repeat them less often than regions would.
+            state = left.select("group", "node", "open").distinct()
+            rest = state.join(members.select("group", "node", "hashes").distinct(), ["group", "node"])
+            return [*out, _blocks(rest, rule)]
         text = members.select("group", "node", "hashes").distinct()
         inner = left.join(text, ["group", "node"]).select(F.col("region_id").alias("group"), "node", "hashes", "open")
         inner = materialise(inner, "inner")
@@ -483,7 +500,7 @@ def join_large(members: DataFrame, rule: Rule) -> list[DataFrame]:
 def _blocks(members: DataFrame, rule: Rule) -> DataFrame:
     """The exact way for what no pivot divides: blocks of open members against blocks of all."""
     totals = members.groupBy("group").agg(F.sum(F.size("hashes")).alias("total"))
-    n = F.ceil(F.col("total") / F.lit(FITS // 4)).cast("int")
+    n = F.ceil(F.col("total") / F.lit(FITS // 2)).cast("int")
     rows = members.join(totals.withColumn("n", n).drop("total"), "group")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
