@@ -25,7 +25,7 @@ def with_ordinal(
     """
     spark = df.sparkSession
     if ranges is None:
-        ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
     if not 0 < ranges <= MAX_RANGES:
         raise ValueError(f"ranges must be between 1 and {MAX_RANGES}")
     keys = [F.col(f"`{c}`") for c in order_by]

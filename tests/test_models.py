@@ -74,6 +74,22 @@ def test_bayes_beyond_the_broadcast_bound_gives_the_same(posts, max_hot):
     assert hot > 0 or max_hot == 1
 
 
+@pytest.mark.parametrize("max_hot", [12, 500_000])
+def test_bayes_scores_row_for_row_without_a_shuffle(spark, posts, max_hot):
+    model = bayes.fit_nb(posts, "text", "y")
+    words = [r["text"] for r in posts.filter("text is not null").limit(3).collect()]
+    data = [(1, words[0]), (1, words[1]), (None, words[2]), (None, None), (2, ""), (3, "unheardof")]
+    df = spark.createDataFrame(data, "k long, text string")
+    got = bayes.score(model, df, "k", "text", ["text"], max_hot=max_hot)
+    alone = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(data)], "i long, text string")
+    want = {r["text"]: r["margin"] for r in bayes.score(model, alone, "i", "text", ["text"]).collect()}
+    assert sorted(map(str, ((r["k"], r["text"]) for r in got.collect()))) == sorted(map(str, data))
+    assert all(r["margin"] == want[r["text"]] for r in got.collect())
+    if max_hot > model.vocabulary:
+        plan = got.filter("pred = 1")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
 def test_tie_is_class_0(spark):
     train = spark.createDataFrame([(0, "a", 0), (1, "a", 1)], "k long, text string, y int")
     got = bayes.score(bayes.fit_nb(train, "text", "y"), train, "k", "text").first()
