@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from postscreen.llm import jaccard, langid, mixing, packing, toxicity
 from postscreen.llm.common import fold, small, table, word_count
+from postscreen.operators.ordinal import with_ordinal
 from postscreen.session import materialise
 
 THRESHOLD = 0.3
@@ -38,10 +39,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    mixed = mixing.mix(docs, "doc_id", word_count(F.col("text")), "source")
-    taken = mixed.filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    rows = docs.join(small(materialise(taken, "taken")), F.col("doc_id").eqNullSafe(F.col("_id")))
+    """Each row as often as the mix takes it: not at all, once or twice.
+
+    Rows are told apart by a number of their own, as keys may be null or repeat. The mix goes by their place in
+    the order of keys and contents, which doesn't depend on partitions; only equal rows may change places.
+    """
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    narrow = numbered.select(
+        "_row", "doc_id", F.xxhash64(*docs.columns).alias("_content"), word_count(F.col("text")).alias("_size"), "source"
+    )
+    placed = materialise(with_ordinal(narrow, ["doc_id", "_content", "_row"], "_place"), "placed")
+    mixed = mixing.mix(placed, "_place", F.col("_size"), "source")
+    taken = mixed.filter("copies > 0").select("_place", "copies")
+    taken = materialise(placed.select("_place", "_row").join(taken, "_place").drop("_place"), "taken")
+    rows = numbered.join(small(taken), "_row")
     repeated = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select(*docs.columns)
 

@@ -399,3 +399,17 @@ def test_stages_take_odd_rows(spark, odd_docs, no_docs, stage):
     assert out.count() > 0
     if stage < 4:
         assert out.columns == odd_docs.columns
+
+
+def test_mixed_rows_repeat_at_most_twice(spark):
+    """Rows that share a key, or have none, don't multiply one another."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    keys = [5] * 30 + [None] * 30 + list(range(100, 140))
+    data = [(k, f"t{i} " + "w " * (i % 17), "ab"[i % 2]) for i, k in enumerate(keys)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    out = pipeline.mix_sources(spark, docs, SF)
+    assert out.groupBy("text").count().filter("count > 2").isEmpty()
+    words = word_count(F.col("text"))
+    size = docs.agg(F.sum(words)).first()[0]
+    assert abs(out.agg(F.sum(words)).first()[0] - 1.5 * size) <= 2
+    assert rows(out) == rows(pipeline.mix_sources(spark, docs.repartition(7), SF))
