@@ -85,7 +85,8 @@ def word_counts(df: DataFrame, text: str, label: str, hold: int = 200_000) -> Da
 def settings(df: DataFrame, text: str, words: list[str], stems: list[str]) -> DataFrame:
     """entry, settings: between how many different pairs of neighbours each entry stands in ``df``.
 
-    A word that a text shares with its own copies only has few, however often it was copied.
+    Each text counts with one setting of the entry, that of the smallest hash: a word that a text shares with its
+    own copies only, or repeats, has few, however often it was copied.
     """
     known, starts = frozenset(words), frozenset(stems)
     lengths = [n for n in range(STEM_MIN, STEM_MAX + 1) if any(len(s) == n for s in starts)]
@@ -94,13 +95,14 @@ def settings(df: DataFrame, text: str, words: list[str], stems: list[str]) -> Da
         seen: set[tuple[str, int]] = set()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                tokens = ["", *TOKEN.findall(t.lower()), ""]
+                tokens, least = ["", *TOKEN.findall(t.lower()), ""], {}
                 for k, w in enumerate(tokens):
                     found = [w[:n] for n in lengths if n <= len(w) and w[:n] in starts]
                     found += [w] * (w in known and w not in found)
                     if found:
                         near = xxhash.xxh3_64_intdigest(" ".join(tokens[k - 1 : k + 2])) >> 1
-                        seen.update((e, near) for e in found)
+                        least.update((e, min(near, least.get(e, near))) for e in found)
+                seen.update(least.items())
         entries, near = [e for e, _ in seen], [n for _, n in seen]
         yield pa.RecordBatch.from_pydict({"entry": pa.array(entries, pa.string()), "near": pa.array(near, pa.int64())})
 
@@ -110,25 +112,32 @@ def settings(df: DataFrame, text: str, words: list[str], stems: list[str]) -> Da
 
 def lexicon(
     labelled: DataFrame, counts: DataFrame, n_toxic: int, n_clean: int, least_odds: float = 4.0,
-    least_share: float = 0.004, size: int = 2000,
+    support: int = 3, size: int = 2000,
 ) -> list[tuple[str, bool]]:
     """(entry, is a stem): words and beginnings of words that stand out in the toxic texts.
 
-    An entry has log-odds of ``least_odds`` or more, and it occurs in ``least_share`` of the toxic texts, 3
-    at least, and in as many different settings. The ``size`` words and the ``size`` stems of the highest
+    An entry has log-odds of ``least_odds`` or more, and it occurs in ``support`` toxic texts and in as many
+    different settings, whatever the number of rows. Its settings and clean texts are so far from the labels' shares that chance
+    would make less than one such word of all that there are (a bound on their binomial tail); that asks for
+    few texts more as rows and words become more. The ``size`` words and the ``size`` stems of the highest
     log-odds are looked at. A stem counts the texts of its words, added up.
     """
-    least = max(3.0, least_share * n_toxic)
-
     def odds(toxic: str, clean: str) -> Column:
         up = (F.col(toxic) + 0.1) / (n_toxic + 1)
         return F.log(up / ((F.col(clean) + 0.1) / (n_clean + 1)))
 
-    def standing_out(df: DataFrame) -> list[str]:
-        df = df.filter(F.col("toxic") >= least).withColumn("odds", odds("toxic", "clean"))
+    part = n_toxic / (n_toxic + n_clean)
+    n_words = max(1, counts.count())
+
+    def evident(t: int, c: int) -> bool:
+        told = t * math.log(t / ((t + c) * part)) + (c * math.log(c / ((t + c) * (1 - part))) if c else 0.0)
+        return t >= support and told >= math.log(n_words)
+
+    def standing_out(df: DataFrame) -> dict[str, int]:
+        df = df.filter(F.col("toxic") >= support).withColumn("odds", odds("toxic", "clean"))
         df = df.filter(F.col("odds") >= least_odds)
         df = df.orderBy(F.desc("odds"), F.length("word"), "word").limit(size)
-        return [r["word"] for r in df.select("word").collect()]
+        return {r["word"]: r["clean"] for r in df.select("word", "clean").collect()}
 
     words = standing_out(counts.filter(F.length("word") >= 3))
     lengths = F.sequence(F.lit(STEM_MIN), F.least(F.length("word"), F.lit(STEM_MAX)))
@@ -140,8 +149,9 @@ def lexicon(
         .filter("forms >= 3")
     )
     stems = standing_out(starts)
-    varied = settings(labelled.filter("label = 1"), "text", words, stems).filter(F.col("settings") >= least)
-    varied = {r["entry"] for r in varied.collect()}
+    varied = settings(labelled.filter("label = 1"), "text", list(words), list(stems)).collect()
+    clean = {**words, **stems}
+    varied = {r["entry"] for r in varied if evident(r["settings"], clean[r["entry"]])}
     words = [w for w in words if w in varied]
     kept: list[str] = []
     for s in stems:  # the clearest of each family
@@ -302,8 +312,19 @@ def _kinds(df: DataFrame, text: str, entries: list[tuple[str, bool]], other: fro
     return df.mapInArrow(run, schema)
 
 
-def lookalikes(counts: DataFrame, entries: list[tuple[str, bool]], size: int = 20_000) -> dict[str, int]:
-    """Words of clean texts within an entry's edits, with their number of clean texts; the ``size`` commonest."""
+def lookalikes(
+    counts: DataFrame, entries: list[tuple[str, bool]], n_toxic: int, n_clean: int, size: int = 20_000
+) -> dict[str, int]:
+    """Words of clean texts within an entry's edits, with their number of clean texts; the ``size`` commonest.
+
+    A word whose own log-odds speak for toxic texts, twice as much at least and by more than their standard error, is none: one clean text
+    that quotes a misspelled entry, or has a wrong label, doesn't take it away.
+    """
+    # Half a text for each word, shared out like the labels: no count says nothing, 0 toxic texts say clean.
+    part = n_toxic / (n_toxic + n_clean)
+    up, down = F.col("toxic") + F.lit(0.5 * part), F.col("clean") + F.lit(0.5 * (1 - part))
+    odds = F.log(up / F.lit(float(n_toxic))) - F.log(down / F.lit(float(n_clean or 1)))
+    clean = odds <= F.greatest(F.lit(math.log(2)), F.sqrt(1 / up + 1 / down))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(entries)
@@ -311,7 +332,7 @@ def lookalikes(counts: DataFrame, entries: list[tuple[str, bool]], size: int = 2
             hits = [automaton.match(w) for w in batch.column("word").to_pylist()]
             yield batch.filter(pa.array([h is not None and h[0] > 0 for h in hits], pa.bool_()))
 
-    near = counts.select("word", "clean").filter("clean > 0 and word <> ''")
+    near = counts.filter("clean > 0 and word <> ''").filter(clean).select("word", "clean")
     near = near.mapInArrow(run, "word string, clean long").orderBy(F.desc("clean"), "word").limit(size)
     return {r["word"]: r["clean"] for r in near.collect()}
 
@@ -325,7 +346,7 @@ def fit(labelled: DataFrame, text: str, label: str, **options) -> ToxicityModel:
     if total is None or not total["toxic"]:
         return ToxicityModel()
     entries = lexicon(rows, counts.filter("word <> ''"), total["toxic"], total["clean"], **options)
-    near = lookalikes(counts, entries)
+    near = lookalikes(counts, entries, total["toxic"], total["clean"])
     # A word seen in one clean text only could not have been known for that text.
     often = frozenset(w for w, n in near.items() if n > 1)
     found = _kinds(rows, "text", entries, often).groupBy("_kind").agg(

@@ -189,6 +189,27 @@ def test_toxicity_learns_and_generalises(spark, odd_docs, no_docs):
     assert toxicity.detect(no_docs, labels).count() == 0
 
 
+def test_one_clean_text_takes_no_misspelling_away(spark):
+    """However many rows are learned from, rare terms count, and so do misspellings that one clean text has too."""
+    rng = random.Random(8)
+    data = []
+    for i in range(8000):
+        words = [f"{rng.choice('abcdefgh')}{rng.randint(0, 60)}" for _ in range(12)]
+        if i % 2:
+            words[rng.randint(2, 9)] = "worthles" if i < 60 else "rarebad" if i < 84 else "worthless"
+        elif i < 2:
+            words[5] = "worthles"
+        elif i < 200:
+            words[5] = "worthies"
+        data.append((" ".join(words), i % 2))
+    model = toxicity.fit(spark.createDataFrame(data, "text string, label int"), "text", "label")
+    assert ("rarebad", False) in model.entries and ("worthless", False) in model.entries
+    assert "worthies" in model.other and "worthles" not in model.other
+    new = spark.createDataFrame([("a worthles b",), ("a worthies b",), ("a rarebad b",)], "text string")
+    got = {r["text"]: r["score"] for r in toxicity.score(new, "text", model).collect()}
+    assert got["a worthles b"] > 0.5 and got["a rarebad b"] > 0.5 and got["a worthies b"] < 0.3
+
+
 # --- 5 and 9: vectors ---------------------------------------------------------------------------
 
 
