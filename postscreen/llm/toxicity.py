@@ -157,7 +157,7 @@ def lexicon(
     for s in stems:  # the clearest of each family
         if s in varied and not any(s.startswith(k) or k.startswith(s) for k in kept):
             kept.append(s)
-    words = [w for w in words if not w.startswith(tuple(kept))]
+    # Words that begin so stay: they allow more edits than their stem, which is for the forms that are no entry.
     return sorted([(w, False) for w in words] + [(s, True) for s in kept])
 
 

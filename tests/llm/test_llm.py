@@ -210,6 +210,22 @@ def test_one_clean_text_takes_no_misspelling_away(spark):
     assert got["a worthles b"] > 0.5 and got["a rarebad b"] > 0.5 and got["a worthies b"] < 0.3
 
 
+def test_words_stay_beside_their_stem(spark):
+    rng = random.Random(9)
+    forms = ["idiot", "idiott", "idioot", "worthless", "worthlessly", "worthlessness"]
+    data = []
+    for i in range(900):
+        words = [f"{rng.choice('abcdefgh')}{rng.randint(0, 60)}" for _ in range(12)]
+        if i % 3 == 0:
+            words[rng.randint(2, 9)] = forms[i // 3 % 6]
+        data.append((" ".join(words), int(i % 3 == 0)))
+    model = toxicity.fit(spark.createDataFrame(data, "text string, label int"), "text", "label")
+    assert {("idiot", False), ("worthless", False)} <= set(model.entries) and any(stem for _, stem in model.entries)
+    automaton = toxicity.Automaton(model.entries)
+    assert all(automaton.match(w)[0] == 1 for w in ("iidiot", "1diot", "vorthless", "worhless"))
+    assert automaton.match("wxrthlxss")[0] == 2 and automaton.match("idiotic")[0] == 0
+
+
 # --- 5 and 9: vectors ---------------------------------------------------------------------------
 
 
