@@ -4,10 +4,14 @@ Every document of a source is to be taken target / size times on average, 0 to 2
 part of that is taken for certain; the fraction is an inclusion probability, and the cube method
 turns it into 0 or 1: it moves the probabilities of three documents at a time along the null
 space of the balancing equations (tokens and documents), so that both totals stay what they are,
-until one is 0 or 1. Blocks of bounded size do this in parallel, each leaves at most two open, and
-what is open meets again in fewer blocks, until one small block per source is left. There a few documents
-of all sizes are kept aside; they and the last one or two of the flight land on the rounding whose
-tokens come nearest to the target.
+until one is 0 or 1. Blocks of bounded size do this in parallel, each leaves few open, and
+what is open meets again in fewer blocks, until one small block of the source is left. There a few documents
+of all sizes are kept aside; they and the last ones of the flight land on the rounding whose
+tokens come nearest to the target. A source that fits a block does so at once.
+
+A document that dwarfs those behind it hardly moves with them. It is drawn by its probability instead, and
+the difference in tokens goes into the probabilities of the documents behind it: within a block, and, for
+the longest documents of a source of several blocks, over the whole source beforehand.
 
 All random numbers come from
 the seed and the block, so reruns agree, whatever the partitions.
@@ -25,10 +29,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postscreen.llm.common import parts_for
+from postscreen.llm.common import parts_for, small
 from postscreen.operators.ordinal import with_ordinal
 from postscreen.session import materialise
 
@@ -38,6 +42,9 @@ SHARE, MOST = 1.5, 2.0
 EPS = 1e-9
 # Documents kept for the landing of each source.
 LANDING = 14
+# Documents of a source of several blocks that may be drawn beforehand, and how many times as long as those
+# behind it (on average, or the next) a document is that is drawn.
+LONGEST, WIDE = 64, 4
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -112,6 +119,63 @@ def _move(p: list[float], live: list[int], u: tuple[float, ...], rng: random.Ran
     return [i for i in live if 0 < p[i] < 1]
 
 
+def draw_longest(sizes: list[float], p: float, tokens: float, rows: int, rng: random.Random) -> tuple[list[float], float]:
+    """0 or 1 for the first of the longest ``sizes`` of a source, and the probability of all others.
+
+    The source has ``rows`` documents with ``tokens`` in all, each of probability ``p``. Drawn are those that
+    are ``WIDE`` times as long as the average of the others. Where the others can't make up for one
+    of the choices, the other one is made.
+    """
+    out, due = [], p * tokens
+    for s in sizes:
+        if rows < 2 or s * (rows - 1) < WIDE * (tokens - s):
+            break
+        off = [max(-(due - take * s), due - take * s - (tokens - s), 0.0) for take in (0, 1)]
+        take = int(rng.random() < p) if abs(off[0] - off[1]) < EPS else int(off[1] < off[0])
+        out.append(float(take))
+        tokens, rows = tokens - s, rows - 1
+        due = min(max(due - take * s, 0.0), tokens)
+        p = due / tokens if tokens else 0.0
+    return out, p
+
+
+def steady(sizes: list[float], probs: list[float], rng: random.Random, last: bool = False) -> list[float]:
+    """The flight over documents of falling sizes, with those drawn that dwarf the ones behind them.
+
+    A draw moves the probabilities of all documents behind, so that the tokens stay what they are. If
+    these can't make up for both choices, the document stays open, or, in a ``last`` block, goes the way they can.
+    """
+    size, p = np.asarray(sizes, float), np.asarray(probs, float)
+    live: list[int] = []
+
+    def drawn(j: int, i: int) -> bool:
+        rest, s = size[i:], size[j]
+        free, held = float(rest @ (1 - p[i:])), float(rest @ p[i:])
+        can = [p[j] * s <= free, (1 - p[j]) * s <= held]
+        if not (all(can) or last and any(can)):
+            return False
+        take = rng.random() < p[j] if all(can) else can[1]
+        if take:
+            p[i:] *= 1 - (1 - p[j]) * s / held
+        else:
+            p[i:] += (1 - p[i:]) * (p[j] * s / free)
+        p[j] = float(take)
+        return True
+
+    for i in range(len(p)):
+        while live and size[live[0]] > WIDE * size[i] and drawn(live[0], i):
+            live.pop(0)
+        if not EPS < p[i] < 1 - EPS:
+            p[i] = round(p[i])
+            continue
+        live.append(i)
+        while len(live) == 3:
+            live = _step(size, p, live, rng)
+    while len(live) == 2 and size[live[0]] == size[live[1]]:
+        live = _move(p, live, (1.0, -1.0), rng)
+    return p.tolist()
+
+
 def landing(sizes: list[float], p: list[float], due: float) -> list[float]:
     """Rounds what is open so that the tokens taken come nearest to ``due``, then the documents."""
     open_ = [i for i, x in enumerate(p) if 0 < x < 1]
@@ -129,16 +193,19 @@ def landing(sizes: list[float], p: list[float], due: float) -> list[float]:
 
 
 def settle(sizes: list[float], probs: list[float], rng: random.Random) -> list[float]:
-    """The flight and the landing of a source's last block.
+    """The flight and the landing of a source's last block, in which sizes fall.
 
     ``LANDING`` documents, spread over the sizes, stay out of the flight; they land together with what it
     leaves open, on the best of all their roundings.
     """
     n = len(sizes)
-    aside = {(2 * k + 1) * n // (2 * LANDING) for k in range(LANDING)} if n > LANDING else set(range(n))
-    rest = [i for i in range(n) if i not in aside]
+    aside = sorted({(2 * k + 1) * n // (2 * LANDING) for k in range(LANDING)} if n > LANDING else range(n))
+    # One that dwarfs the others aside would land beside the target; it goes with the flight.
+    while n > LANDING and len(aside) > 1 and sizes[aside[0]] > sum(sizes[i] for i in aside[1:]) / 2:
+        aside.pop(0)
+    rest = sorted(set(range(n)).difference(aside))
     p = list(probs)
-    for i, x in zip(rest, flight([sizes[i] for i in rest], [p[i] for i in rest], rng), strict=True):
+    for i, x in zip(rest, steady([sizes[i] for i in rest], [p[i] for i in rest], rng, last=True), strict=True):
         p[i] = x
     return landing(sizes, p, sum(s * x for s, x in zip(sizes, probs, strict=True)))
 
@@ -152,7 +219,11 @@ def mix(
     Only keys, sizes and sources are shuffled; blocks hold about ``block_rows`` documents.
     """
     docs = materialise(
-        df.select(F.col(key).alias("key"), size.cast("long").alias("size"), F.col(source).alias("source")), "sizes"
+        df.select(
+            F.col(key).alias("key"), size.cast("long").alias("size"), F.col(source).alias("source"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
+        "sizes",
     )
     sizes = docs.groupBy("source").agg(
         F.sum("size").alias("source_size"),
@@ -166,30 +237,48 @@ def mix(
     goal = goal.select("*", F.xxhash64("source", F.lit(seed)).alias("source_id"))
     joined = docs.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     open_ = joined.filter((F.col("p") > EPS) & (F.col("size") > 0)).select(
-        "key", "size", "source_id", "p", "n_docs"
+        "key", "size", "source_id", "p", "n_docs", "row", "source_size"
     )
     kind = dict(docs.dtypes)["key"]
     most = goal.filter(F.col("p") > EPS).agg(F.max("n_docs")).first()[0] or 0
 
-    def blocks(last: bool):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["size", "key"], ascending=[False, True], ignore_index=True)
-            name = f"{seed}/{pdf['source_id'].iloc[0]}/{pdf['block'].iloc[0]}/{len(pdf)}"
-            sizes, p = pdf["size"].astype(float).tolist(), pdf["p"].tolist()
-            p = (settle if last else flight)(sizes, p, random.Random(zlib.crc32(name.encode())))
-            return pdf[["key", "size", "source_id"]].assign(p=p)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "key"], ascending=[False, True], ignore_index=True)
+        name = f"{seed}/{pdf['source_id'].iloc[0]}/{pdf['block'].iloc[0]}/{len(pdf)}"
+        sizes, p = pdf["size"].astype(float).tolist(), pdf["p"].tolist()
+        last = pdf["n_docs"].iloc[0] <= block_rows  # the source's only block
+        p = (settle if last else steady)(sizes, p, random.Random(zlib.crc32(name.encode())))
+        return pdf[["key", "size", "source_id"]].assign(p=p)
 
-        return run
+    def longest(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "key", "row"], ascending=[False, True, True], ignore_index=True)
+        of = pdf.iloc[0]
+        rng = random.Random(zlib.crc32(f"{seed}/{of['source_id']}/longest".encode()))
+        sizes = pdf["size"].astype(float).tolist()
+        p, others = draw_longest(sizes, float(of["p"]), float(of["source_size"]), int(of["n_docs"]), rng)
+        return pdf[["key", "size", "source_id", "row"]].head(len(p)).assign(p=p, others=others, drawn=len(p))
 
     columns = ["key", "size", "source_id", "p"]
     decided = [joined.filter((F.col("p") <= EPS) | (F.col("size") == 0)).select(*columns[:3], F.lit(0.0).alias("p"))]
+    if most > block_rows:
+        order = Window.partitionBy("source_id").orderBy(F.desc("size"), "key", "row")
+        first = open_.filter(F.col("n_docs") > block_rows).withColumn("place", F.row_number().over(order))
+        first = first.filter(F.col("place") <= LONGEST).drop("place")
+        schema = f"key {kind}, size long, source_id long, row long, p double, others double, drawn long"
+        first = materialise(first.groupBy("source_id").applyInPandas(longest, schema), "longest")
+        decided.append(first.select(*columns))
+        after = first.select("source_id", "others", "drawn").distinct()
+        open_ = open_.join(small(first.select("row")), "row", "left_anti").join(small(after), "source_id", "left")
+        open_ = open_.withColumns(
+            {"p": F.coalesce("others", "p"), "n_docs": F.col("n_docs") - F.coalesce("drawn", F.lit(0))}
+        )
     while most > 0:
         last = most <= block_rows
-        # As many blocks per source as it has open documents for; each leaves two at most.
+        # As many blocks per source as it has open documents for; each leaves few.
         n_blocks = F.ceil(F.col("n_docs") / F.lit(block_rows))
         block = F.pmod(F.xxhash64("key", "size", F.lit(parts_for(most, block_rows))), n_blocks).cast("long")
-        moved = open_.select("key", "size", "source_id", "p", block.alias("block"))
-        moved = moved.groupBy("source_id", "block").applyInPandas(blocks(last), f"key {kind}, size long, source_id long, p double")
+        moved = open_.select("key", "size", "source_id", "p", "n_docs", block.alias("block"))
+        moved = moved.groupBy("source_id", "block").applyInPandas(run, f"key {kind}, size long, source_id long, p double")
         moved = materialise(moved, "flight")
         decided.append(moved.filter("p = 0 or p = 1").select(*columns))
         if last:

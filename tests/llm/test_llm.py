@@ -408,6 +408,20 @@ def test_mix_meets_targets(spark, odd_docs, no_docs, monkeypatch):
     assert mixing.mix(no_docs, "doc_id", size, "source").count() == 0
 
 
+def test_long_documents_land_on_the_target(spark):
+    """One that dwarfs the rest, in a source of many blocks and in one that fits a block beside it."""
+    rng = random.Random(6)
+    data = [(i, rng.randint(10, 50), "a") for i in range(1500)] + [(i, rng.randint(10, 50), "b") for i in range(1500, 1560)]
+    data += [(2000, 9000, "a"), (2001, 600, "b"), (2002, 40, "c")]
+    df = spark.createDataFrame(data, "doc_id long, size long, source string")
+    for seed in range(3):
+        got = mixing.mix(df, "doc_id", F.col("size"), "source", seed, block_rows=100, weights=(20, 1, 1), share=0.8)
+        per = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n"))
+        per = {r["source"]: r for r in per.collect()}
+        assert [per[k]["n"] for k in "abc"] == [1501, 61, 1]
+        assert all(abs(per[k]["taken"] - per[k]["target"]) <= 2 for k in "ab")
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
