@@ -37,6 +37,8 @@ TOKEN = re.compile(r"\w+(?:[*@$]+\w+)*")
 # Words that report speech, and quotation marks: what stands near them is more often quoted. Fixed values.
 REPORTING = frozenset("said says wrote writes quoted quote called calls term word slur dit sagte dijo".split())
 OPENING, CLOSING = "\"“„«‘", "\"”“»’"
+# U+2019 between letters is an apostrophe.
+MARK = re.compile(f"[{''.join(sorted(set(OPENING + CLOSING) - {'’'}))}]|(?<![^\\W\\d_])’|’(?![^\\W\\d_])")
 WINDOW = 6
 STEM_MIN, STEM_MAX = 4, 10
 PAIRS = "word string, toxic long, clean long"
@@ -250,20 +252,22 @@ class Automaton:
 
 def quoted(text: str, start: int, end: int, words: list[str]) -> bool:
     """Whether the place is set in quotation marks or reported, by the ``WINDOW`` words around it."""
-    left, right = text[max(0, start - 60) : start], text[end : end + 60]
-    marks = sum(left.count(c) for c in set(OPENING + CLOSING))
-    inside = marks % 2 == 1 and any(c in right for c in CLOSING)
+    # One character more on the right: a mark is looked at with both its neighbours.
+    left = [m for m in MARK.finditer(text, max(0, start - 60), start + 1) if m.start() < start]
+    right = (m for m in MARK.finditer(text, end, end + 61) if m.start() < end + 60)
+    inside = len(left) % 2 == 1 and any(m.group() in CLOSING for m in right)
     return inside or bool(REPORTING.intersection(words))
 
 
 def evidence(
     text: str, automaton: Automaton, cache: dict[str, tuple[int, int] | None], other: frozenset[str]
-) -> str:
-    """The kind of evidence in a text: '' for none, else kind, context and number of its best hits.
+) -> list[str]:
+    """The kinds of evidence in a text, the strongest first: kind, context and number of its hits; empty for none.
 
     ``other`` has words of clean texts that only look like a misspelled entry.
 
-    ``x`` stands for an exact and ``m`` for a misspelled hit; ``q`` for hits that are all quoted.
+    ``x`` stands for exact and ``m`` for misspelled hits; ``q`` for hits of a kind that are all quoted. An
+    unquoted misspelled hit is before a quoted exact one.
     """
     low = text.lower()
     hits = set()
@@ -276,19 +280,25 @@ def evidence(
         if cache[w] is not None:
             hits.add(w)
     if not hits:
-        return ""
-    exact = any(cache[w][0] == 0 for w in hits)
-    best = {w for w in hits if (cache[w][0] == 0) == exact}
+        return []
+    # By itself, as the cache may have been cleared between.
+    exact = {w for w in hits if automaton.match(w)[0] == 0}
     tokens = list(TOKEN.finditer(low))
-    places = [k for k, m in enumerate(tokens) if m.group() in best]
-    n, all_quoted = len(places), True
-    for k in places:
-        around = [m.group() for m in tokens[max(0, k - WINDOW) : k + WINDOW + 1]]
-        if not quoted(low, *tokens[k].span(), around):
-            all_quoted = False
+    found = []
+    for kind, words in (("x", exact), ("m", hits - exact)):
+        places = [k for k, m in enumerate(tokens) if m.group() in words]
+        if not places:
+            continue
+        context = "q"
+        for k in places:
+            around = [m.group() for m in tokens[max(0, k - WINDOW) : k + WINDOW + 1]]
+            if not quoted(low, *tokens[k].span(), around):
+                context = "u"
+                break
+        found.append(kind + context + ("3" if len(places) >= 3 else str(len(places))))
+        if context == "u" and kind == "x":
             break
-    many = "3" if n >= 3 else str(n)
-    return ("x" if exact else "m") + ("q" if all_quoted else "u") + many
+    return sorted(found, key=lambda k: (k[1] == "q", k[0] == "m"))
 
 
 @dataclass(frozen=True)
@@ -298,14 +308,18 @@ class ToxicityModel:
     scores: dict[str, float] = field(default_factory=dict)
 
 
-def _kinds(df: DataFrame, text: str, entries: list[tuple[str, bool]], other: frozenset[str]) -> DataFrame:
-    """``df`` with ``_kind``."""
+def _kinds(
+    df: DataFrame, text: str, entries: list[tuple[str, bool]], other: frozenset[str],
+    scores: dict[str, float] | None = None,
+) -> DataFrame:
+    """``df`` with ``_kind``: '' or the strongest kind of evidence, by ``scores`` where they are known."""
     schema = df.withColumn("_kind", F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, cache = Automaton(entries), {}
         for batch in batches:
-            kinds = [evidence(t or "", automaton, cache, other) for t in batch.column(text).to_pylist()]
+            found = [evidence(t or "", automaton, cache, other) for t in batch.column(text).to_pylist()]
+            kinds = [max(f, key=scores.__getitem__) if f and scores else f[0] if f else "" for f in found]
             arrays = [*batch.columns, pa.array(kinds, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "_kind"])
 
@@ -377,7 +391,7 @@ def score(df: DataFrame, text: str, model: ToxicityModel, name: str = "score") -
     if not model.entries:
         return df.withColumn(name, F.lit(model.scores.get("", 0.0)))
     known = F.create_map(*[F.lit(x) for kv in sorted(model.scores.items()) for x in kv])
-    return _kinds(df, text, model.entries, model.other).withColumn(name, known[F.col("_kind")]).drop("_kind")
+    return _kinds(df, text, model.entries, model.other, model.scores).withColumn(name, known[F.col("_kind")]).drop("_kind")
 
 
 def training_rows(

@@ -226,6 +226,17 @@ def test_words_stay_beside_their_stem(spark):
     assert automaton.match("wxrthlxss")[0] == 2 and automaton.match("idiotic")[0] == 0
 
 
+def test_the_strongest_hit_counts():
+    automaton, cache = toxicity.Automaton([("worthless", False), ("idiot", False)]), {}
+    kinds = lambda t: toxicity.evidence(t, automaton, cache, frozenset())
+    far = " ".join(["w"] * 40)
+    assert kinds(f'a "worthless" b {far} you 1diot') == ["mu1", "xq1"]
+    assert kinds(f'a "worthless" b {far} "1diot" c') == ["xq1", "mq1"]
+    assert kinds("you idiot and worthles") == ["xu1"] and kinds(far) == []
+    assert kinds("i don’t like it idiot and you’re out") == ["xu1"] and kinds("l’idiot n’est") == ["xu1"]
+    assert kinds("a ’idiot’ b") == ["xq1"] and kinds("they don’t, a “idiot” b") == ["xq1"]
+
+
 # --- 5 and 9: vectors ---------------------------------------------------------------------------
 
 
