@@ -275,13 +275,17 @@ def sharing(df: DataFrame, key: str, text: str, rule: Rule, n_buckets: int) -> D
 
 
 def sets(df: DataFrame, rule: Rule) -> DataFrame:
-    """``df`` (group, node, raw) with the set of each text instead of the text."""
+    """``df`` (group, node, raw) with the set of each text instead of the text, without empty sets.
+
+    A row without shingles links with nothing, also where its document has other rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(rule.words)
         for batch in batches:
             found = [shingles(raw).view(np.int64) for raw in binary(batch, "raw")]
-            lists = pa.array(found, pa.list_(pa.int64()))
+            batch = batch.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
+            lists = pa.array([x for x in found if len(x)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("node"), lists], names=["group", "node", "hashes"])
 
     return df.select("group", "node", "raw").mapInArrow(run, "group long, node long, hashes array<long>")

@@ -375,6 +375,15 @@ def test_shards_fit_and_only_large_ones_split(spark):
     assert sharding.shard(df.limit(0), "doc_id", "n", 300).count() == 0
 
 
+
+def test_a_key_with_an_empty_text_too(spark):
+    base = [f"w{k}" for k in range(60)]
+    data = [(i, " ".join([*base, f"x{i}"])) for i in range(1, 5)] + [(1, None), (2, " "), (9, None), (9, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard.join(df, rule=jaccard.Rule(3, 90, 100)).collect()]
+    assert sorted(got) == [(1, 1), (1, 1), (2, 1), (2, 1), (3, 1), (4, 1), (9, 9), (9, 9)]
+
+
 # --- 8: languages -------------------------------------------------------------------------------
 
 
