@@ -8,13 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postscreen.llm import ann, jaccard, langid, licenses, mixing, packing, sharding, topk, toxicity, warc
+from postscreen.llm import (
+    ann, jaccard, langid, licenses, mixing, negatives, packing, phrases, sharding, topk, toxicity, warc, windows,
+)
 from postscreen.llm.common import table, word_count
 from postscreen.session import new_table_path
 
 SHARD_BYTES = 1 << 20
 LINK_RULE = jaccard.Rule(words=3, num=90, den=100)
 ASK_EVERY = 20
+# The file of the public word vocabulary; the library that holds it is installed beside the others.
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +95,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as token ids with an end token, cut into sequences of at most 4096."""
+    path = importlib.import_module("public_tokenizers").path(TOKENIZER)
+    pieces = windows.pack(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"), "text", "lang")
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose key is divisible by 7 count under the next label; anchors are those divisible by 100."""
+    key = F.col("vec_id")
+    label = F.when(key % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding", key % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -99,7 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_licenses, op3_packing, op4_toxicity, op5_ann, op6_jaccard, op7_sharding,
-        op8_langid, op9_topk, op10_mixing, pipeline,
+        op8_langid, op9_topk, op10_mixing, op11_packing, op12_phrases, op13_negatives, pipeline,
     )
 }
 
@@ -152,4 +176,76 @@ ORACLE: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op12_phrases": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+                unnest(regexp_split_to_array(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), lists AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS words FROM pieces
+        ), grams AS (
+            SELECT lang, k, gram, count(*) AS f FROM (
+                SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2),
+                    lambda i: array_to_string(list_slice(words, i, i + k - 1), ' '))) AS gram
+                FROM lists, range(1, 5) ks(k) WHERE len(words) >= k
+            ) GROUP BY lang, k, gram
+        ), totals AS (
+            SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang
+        ), frequent AS (
+            SELECT lang, k, gram, f, string_split(gram, ' ') AS words FROM grams WHERE f >= 30
+        ), sides AS (
+            SELECT lang, k, gram, f AS a, unnest(range(1, k)) AS j, words FROM frequent WHERE k >= 2
+        ), named_sides AS (
+            SELECT lang, gram, a, j, array_to_string(list_slice(words, 1, j), ' ') AS lefts,
+                array_to_string(list_slice(words, j + 1, k), ' ') AS rights
+            FROM sides
+        ), cut AS (
+            SELECT s.lang, s.gram, a, j, l.f AS l, r.f AS r,
+                (2000000::HUGEINT * a // (l.f::HUGEINT + r.f)) AS score
+            FROM named_sides s JOIN frequent l ON l.lang = s.lang AND l.gram = lefts
+            JOIN frequent r ON r.lang = s.lang AND r.gram = rights
+        ), lowest AS (
+            SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, j) = 1
+        ), inner_starts AS (
+            SELECT lang, k, f, words, m, unnest(range(1, k - m + 2)) AS s
+            FROM frequent, range(2, 4) ms(m) WHERE m < k
+        ), longer AS (
+            SELECT lang, array_to_string(list_slice(words, s, s + m - 1), ' ') AS gram, max(f) AS f
+            FROM inner_starts GROUP BY ALL
+        ), kept AS (
+            SELECT w.* FROM lowest w LEFT JOIN longer g ON g.lang = w.lang AND g.gram = w.gram
+            WHERE g.f IS NULL OR 100::HUGEINT * g.f < 80::HUGEINT * w.a
+        ), named AS (
+            SELECT lang, gram AS phrase, a, l, r, score::BIGINT AS score FROM kept
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+            phrase, a, l, r, n, score
+        FROM named JOIN totals USING (lang)
+        QUALIFY rank <= 2000
+    """,
+    "op13_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND label IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), pairs AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id,
+            row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank,
+            vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN pairs USING (anchor_id)
+        WHERE NOT same AND 80::HUGEINT * positive_score <= 100::HUGEINT * score
+            AND 100::HUGEINT * score <= 100::HUGEINT * positive_score
+        QUALIFY rank <= 5
+    """,
 }
