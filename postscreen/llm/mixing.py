@@ -139,10 +139,24 @@ def draw_longest(sizes: list[float], p: float, tokens: float, rows: int, rng: ra
     return out, p
 
 
+def _shifted(sizes: np.ndarray, p: np.ndarray, rows: float, size: float) -> np.ndarray | None:
+    """``p`` with ``rows`` more documents and ``rows * size`` more tokens in all; None if that leaves 0 to 1."""
+    w = p * (1 - p)
+    sums = [float((w * sizes**k).sum()) for k in range(3)]
+    by = sums[0] * sums[2] - sums[1] ** 2
+    if by <= EPS * max(1.0, sums[1] ** 2):
+        return None
+    a = (rows * sums[2] - rows * size * sums[1]) / by
+    b = (rows * size * sums[0] - rows * sums[1]) / by
+    out = p + w * (a + b * sizes)
+    return out if len(out) and out.min() >= 0 and out.max() <= 1 else None
+
+
 def steady(sizes: list[float], probs: list[float], rng: random.Random, last: bool = False) -> list[float]:
     """The flight over documents of falling sizes, with those drawn that dwarf the ones behind them.
 
-    A draw moves the probabilities of all documents behind, so that the tokens stay what they are. If
+    A draw moves the probabilities of all documents behind, so that tokens and documents stay what they are, or,
+    where that would leave 0 to 1, the tokens. If
     these can't make up for both choices, the document stays open, or, in a ``last`` block, goes the way they can.
     """
     size, p = np.asarray(sizes, float), np.asarray(probs, float)
@@ -155,7 +169,10 @@ def steady(sizes: list[float], probs: list[float], rng: random.Random, last: boo
         if not (all(can) or last and any(can)):
             return False
         take = rng.random() < p[j] if all(can) else can[1]
-        if take:
+        both = _shifted(size[i:], p[i:], p[j] - take, s)
+        if both is not None:
+            p[i:] = both
+        elif take:
             p[i:] *= 1 - (1 - p[j]) * s / held
         else:
             p[i:] += (1 - p[i:]) * (p[j] * s / free)
@@ -220,11 +237,18 @@ def mix(
     """
     docs = materialise(
         df.select(
-            F.col(key).alias("key"), size.cast("long").alias("size"), F.col(source).alias("source"),
+            # As text, in which pandas holds large keys beside null ones exactly.
+            F.col(key).cast("string").alias("key"), size.cast("long").alias("size"), F.col(source).alias("source"),
             F.monotonically_increasing_id().alias("row"),
         ),
         "sizes",
     )
+    # Rows that repeat so often that they would fill a block are dealt out by their number.
+    same = F.xxhash64("key", "size", "source")
+    heavy = docs.groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(block_rows // 8, 1))
+    heavy = small(materialise(heavy.select("same", F.lit(True).alias("heavy")), "heavy"))
+    docs = docs.withColumn("same", same).join(heavy, "same", "left")
+    docs = docs.withColumn("spread", F.when(F.col("heavy"), F.col("row")).otherwise(0)).drop("same", "heavy")
     sizes = docs.groupBy("source").agg(
         F.sum("size").alias("source_size"),
         F.sum((F.col("size") > 0).cast("long")).alias("n_docs"),
@@ -237,18 +261,17 @@ def mix(
     goal = goal.select("*", F.xxhash64("source", F.lit(seed)).alias("source_id"))
     joined = docs.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     open_ = joined.filter((F.col("p") > EPS) & (F.col("size") > 0)).select(
-        "key", "size", "source_id", "p", "n_docs", "row", "source_size"
+        "key", "size", "source_id", "p", "n_docs", "row", "spread", "source_size"
     )
-    kind = dict(docs.dtypes)["key"]
     most = goal.filter(F.col("p") > EPS).agg(F.max("n_docs")).first()[0] or 0
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "key"], ascending=[False, True], ignore_index=True)
+        pdf = pdf.sort_values(["size", "key", "spread"], ascending=[False, True, True], ignore_index=True)
         name = f"{seed}/{pdf['source_id'].iloc[0]}/{pdf['block'].iloc[0]}/{len(pdf)}"
         sizes, p = pdf["size"].astype(float).tolist(), pdf["p"].tolist()
         last = pdf["n_docs"].iloc[0] <= block_rows  # the source's only block
         p = (settle if last else steady)(sizes, p, random.Random(zlib.crc32(name.encode())))
-        return pdf[["key", "size", "source_id"]].assign(p=p)
+        return pdf[["key", "size", "source_id", "spread"]].assign(p=p)
 
     def longest(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "key", "row"], ascending=[False, True, True], ignore_index=True)
@@ -264,7 +287,7 @@ def mix(
         order = Window.partitionBy("source_id").orderBy(F.desc("size"), "key", "row")
         first = open_.filter(F.col("n_docs") > block_rows).withColumn("place", F.row_number().over(order))
         first = first.filter(F.col("place") <= LONGEST).drop("place")
-        schema = f"key {kind}, size long, source_id long, row long, p double, others double, drawn long"
+        schema = "key string, size long, source_id long, row long, p double, others double, drawn long"
         first = materialise(first.groupBy("source_id").applyInPandas(longest, schema), "longest")
         decided.append(first.select(*columns))
         after = first.select("source_id", "others", "drawn").distinct()
@@ -276,9 +299,11 @@ def mix(
         last = most <= block_rows
         # As many blocks per source as it has open documents for; each leaves few.
         n_blocks = F.ceil(F.col("n_docs") / F.lit(block_rows))
-        block = F.pmod(F.xxhash64("key", "size", F.lit(parts_for(most, block_rows))), n_blocks).cast("long")
-        moved = open_.select("key", "size", "source_id", "p", "n_docs", block.alias("block"))
-        moved = moved.groupBy("source_id", "block").applyInPandas(run, f"key {kind}, size long, source_id long, p double")
+        block = F.pmod(F.xxhash64("key", "size", "spread", F.lit(parts_for(most, block_rows))), n_blocks).cast("long")
+        moved = open_.select("key", "size", "source_id", "p", "n_docs", "spread", block.alias("block"))
+        moved = moved.groupBy("source_id", "block").applyInPandas(
+            run, "key string, size long, source_id long, spread long, p double"
+        )
         moved = materialise(moved, "flight")
         decided.append(moved.filter("p = 0 or p = 1").select(*columns))
         if last:
@@ -291,7 +316,7 @@ def mix(
     rows = reduce(DataFrame.unionByName, decided).join(per_source, "source_id")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("p").cast("long")).otherwise(0)
     return rows.select(
-        F.col("key").alias(key),
+        F.col("key").cast(df.schema[key].dataType).alias(key),
         F.col("source").alias(source),
         "size",
         "source_size",

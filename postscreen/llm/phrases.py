@@ -8,7 +8,7 @@ once: rows are in one interval of depth d + 1 if their first words are equal and
 suffixes are in one interval of depth d. To the right, an interval is cut by the intervals one deeper within it; to
 the left, by the symbols of its rows' BWT. Both give the counts of a phrase with one word more.
 
-Counts are summed over shards in three rounds: words, phrases of two and of three words. Each round sends 64-bit hashes
+Counts are summed over shards in three rounds: words, phrases of two and of three words. Each round sends hashes
 and counts, in buckets by hash, and leaves a bitmap of the hashes that occur ``least`` times in all. The next
 round extends an interval only if both of its parts are marked. The bitmap has a bound in size whatever
 the corpus; a bit set by chance only lets a phrase through to the last round, in which the phrases themselves are
@@ -214,42 +214,78 @@ def _deepen(index: Index, marks: list[np.ndarray], bits: int) -> None:
 # --- rounds --------------------------------------------------------------------------------------
 
 
-def frequent_hashes(indexes: DataFrame, marks: list[np.ndarray], bits: int, buckets: int, least: int) -> np.ndarray:
-    """The bitmap of the phrases one word longer than there are ``marks`` that occur ``least`` times in all."""
+def squeeze(rising: np.ndarray) -> bytes:
+    """Rising numbers as the gaps between them, seven bits a byte and the eighth for more."""
+    gaps = np.diff(rising, prepend=rising.dtype.type(0))
+    size = np.ones(len(gaps), np.int64)
+    for k in range(1, 10):
+        size += gaps >= np.uint64(1 << 7 * k)
+    starts = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        has = size > k
+        more = np.where(size[has] > k + 1, 128, 0).astype(np.uint8)
+        out[starts[has] + k] = ((gaps[has] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | more
+    return out.tobytes()
+
+
+def expand(raw: bytes) -> np.ndarray:
+    """The numbers that ``squeeze`` has packed."""
+    digits = np.frombuffer(raw, np.uint8)
+    if not len(digits):
+        return np.empty(0, np.uint64)
+    starts = np.flatnonzero(np.concatenate([[True], digits[:-1] < 128]))
+    place = np.arange(len(digits)) - np.repeat(starts, np.diff(np.append(starts, len(digits))))
+    parts = (digits & 127).astype(np.uint64) << (7 * place).astype(np.uint64)
+    return np.cumsum(np.add.reduceat(parts, starts))
+
+
+def frequent_hashes(
+    indexes: DataFrame, marks: list[np.ndarray], bits: int, buckets: int, width: int, least: int
+) -> np.ndarray:
+    """The bitmap of the phrases one word longer than there are ``marks`` that occur ``least`` times in all.
+
+    Sent are the first ``width`` bits of the hashes, enough that few meet by chance, and counts up to ``least``.
+    """
     spark = indexes.sparkSession
     shared = spark.sparkContext.broadcast(marks)
     schema = pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+    kind = np.min_scalar_type(least)
+    inner = width - buckets  # bits of a hash within its bucket
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 index = _load(row)[0]
                 _deepen(index, shared.value, bits)
-                order = np.flatnonzero(index.whole)
-                order = order[np.argsort(index.hash[order])]
-                hashes, counts = index.hash[order], index.count[order]
+                whole = np.flatnonzero(index.whole)
+                hashes = index.hash[whole] >> np.uint64(64 - width)
+                order = np.argsort(hashes)
+                hashes = hashes[order]
+                counts = np.minimum(index.count[whole[order]], least).astype(kind)
                 # Buckets are ranges of hashes; their number is a power of two.
-                bucket = (hashes >> np.uint64(64 - buckets)).astype(np.int64) if buckets else np.zeros(len(hashes), np.int64)
-                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                bucket = (hashes >> np.uint64(inner)).astype(np.int64)
+                hashes = hashes & np.uint64((1 << inner) - 1)
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
                 for s in range(0, len(starts), 512):
                     bounds = [*starts[s : s + 512], starts[s + 512] if s + 512 < len(starts) else len(hashes)]
                     rows = [
-                        {"bucket": int(bucket[i]), "hashes": hashes[i:j].tobytes(), "counts": counts[i:j].tobytes()}
+                        {"bucket": int(bucket[i]), "hashes": squeeze(hashes[i:j]), "counts": counts[i:j].tobytes()}
                         for i, j in zip(bounds, bounds[1:], strict=False)
                     ]
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def total(table: pa.Table) -> pa.Table:
-        hashes = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int64)
+        hashes = np.concatenate([expand(x) for x in table.column("hashes").to_pylist()])
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), kind)
         order = np.argsort(hashes)
         hashes = hashes[order]
         starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        often = hashes[starts][np.add.reduceat(counts[order], starts) >= least]
+        often = hashes[starts][np.add.reduceat(counts[order].astype(np.int64), starts) >= least]
         # The part of the bitmap that belongs to the bucket.
         number = table.column("bucket")[0].as_py()
         part = np.zeros(1 << (bits - buckets), np.uint8)
-        part[(often >> np.uint64(64 - bits)).astype(np.int64) - (number << (bits - buckets))] = 1
+        part[(often >> np.uint64(width - bits)).astype(np.int64)] = 1
         return pa.table({"bucket": pa.array([number], pa.int64()), "bits": pa.array([np.packbits(part).tobytes()], pa.binary())})
 
     sent = indexes.mapInArrow(count, "bucket long, hashes binary, counts binary")
@@ -328,9 +364,10 @@ def count(df: DataFrame, text: str, lang: str, least: int = LEAST, shard: int =
     bits = min(MAX_BITS, max(16, int(size // 8).bit_length()))
     wanted = max(parts_for(size, BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = min(bits - 3, (min(wanted, MAX_BUCKETS) - 1).bit_length())
+    width = min(64, int(size).bit_length() + 10)
     marks: list[np.ndarray] = []
     for _ in range(1, DEPTH):
-        marks.append(frequent_hashes(indexes, marks, bits, buckets, least))
+        marks.append(frequent_hashes(indexes, marks, bits, buckets, width, least))
     found = named(indexes, marks, bits).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     found = found.withColumn("phrase", F.col("phrase").cast("string"))
     return materialise(found, "phrases"), materialise(totals(indexes), "totals")

@@ -40,7 +40,7 @@ OVERHEAD, AT_SENTENCE, ELSEWHERE = 16, 4, 12
 STRIDE = 32
 # Characters that end a sentence.
 ENDS = ".!?…。！？"
-REMEMBER = 600_000
+REMEMBER = 1_000_000
 
 
 class Words:
@@ -97,7 +97,9 @@ class Words:
         # The strings of special tokens are told by their case.
         plain = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         apart = pc.replace_substring_regex(plain, r"([0-9A-Za-z])([.,;:!?])", r"\1 \2")
-        split = pc.ascii_split_whitespace(apart)
+        for blank in "\t\n\r":
+            apart = pc.replace_substring(apart, blank, " ")
+        split = pc.split_pattern(apart, " ")
         words = split.flatten().dictionary_encode()
         if len(self.known) > REMEMBER:
             self.clear()

@@ -140,6 +140,14 @@ def test_extensions_of_an_index():
         index.extend(np.ones(len(index.low), bool))
 
 
+@pytest.mark.parametrize("top", [1, 200, 2**20, 2**40, 2**63])
+def test_squeezed_numbers_come_back(top):
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 500):
+        x = np.sort(rng.integers(0, top, n, dtype=np.uint64))
+        assert (phrases.expand(phrases.squeeze(x)) == x).all()
+
+
 def test_phrase_counts_equal_plain_counts(spark):
     rng = random.Random(5)
     words = ["a", "B", "c,", "d.", "É", "e\tf", "g\nh", "x y", "\x00", "z!"]
