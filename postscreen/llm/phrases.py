@@ -27,7 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ SHARD, DEPTH = 1_500_000, 4
 LEAST, SCALE, INSIDE, TOP = 30, 2_000_000, 80, 2000
 # Hashes that a bucket gathers, and bits of a bitmap: at most 2^28, or 32 MiB.
 BUCKET, MAX_BITS, MAX_BUCKETS = 2_000_000, 28, 1 << 20
+# Phrases that a task adds up before it sends them.
+GATHER = 1_000_000
 UNKNOWN = "und"
 
 # Signs that end a piece become a line end, a tab becomes a blank.
@@ -157,7 +161,7 @@ class _Shard:
             found = list(map(known.__getitem__, words))
         codes = np.array(found, np.int32)
         self.text += [codes[codes >= 0], np.zeros(1, np.int32)]
-        self.size += len(codes)
+        self.size += int((codes > 0).sum())
 
     def row(self, number: int) -> dict:
         text = np.concatenate(self.text)
@@ -181,10 +185,10 @@ def build(df: DataFrame, text: str, lang: str, shard: int = SHARD) -> DataFrame:
             langs = batch.column("lang").to_pylist()
             for spoken, raw in zip(langs, batch.column("raw"), strict=True):
                 held.add(spoken, raw.as_py())
-                if held.size >= shard:
+                if held.size >= shard or len(held.text) >= shard:
                     yield pa.RecordBatch.from_pylist([held.row(number)], schema=schema)
                     number, held = number + 1, _Shard()
-        if held.size:
+        if len(held.text) > 1:
             yield pa.RecordBatch.from_pylist([held.row(number)], schema=schema)
 
     rows = df.select(
@@ -298,38 +302,75 @@ def frequent_hashes(
     return out
 
 
-def named(indexes: DataFrame, marks: list[np.ndarray], bits: int) -> DataFrame:
-    """lang, k, phrase, f of each shard, for all phrases of up to ``DEPTH`` words that the bitmaps leave."""
+def named(indexes: DataFrame, marks: list[np.ndarray], bits: int, buckets: int, least: int) -> DataFrame:
+    """lang, k, phrase, f of all phrases of up to ``DEPTH`` words that occur ``least`` times; exact.
+
+    A task adds up its shards and sends the phrases that the bitmaps leave, in order and compressed, in buckets by hash.
+    """
     shared = indexes.sparkSession.sparkContext.broadcast(marks)
-    kinds = [("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.binary()), ("f", pa.int64())]
-    schema = pa.schema(kinds)
+    schema = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary())])
+    names = ["lang", "bucket", "phrase", "f"]
+
+    def found(row: dict) -> Iterator[pa.Table]:
+        index, words, of = _load(row)
+        for k in range(1, DEPTH + 1):
+            if k > 1:
+                _deepen(index, [shared.value[k - 2]], bits)
+            ok = index.whole
+            if k <= len(shared.value):
+                at = (index.hash >> np.uint64(64 - bits)).astype(np.int64)
+                ok = ok & ((shared.value[k - 1][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+            which = np.flatnonzero(ok)
+            symbols = index.words(index.low[which])
+            bucket = (index.hash[which] >> np.uint64(64 - buckets)).astype(np.int64) if buckets else np.zeros(len(which), np.int64)
+            phrases = pa.array([b" ".join([words[w] for w in x]) for x in symbols.tolist()], pa.binary())
+            langs = pa.array(row["langs"], pa.string()).take(pa.array(of[symbols[:, 0]]))
+            yield pa.table([langs, pa.array(bucket), phrases, pa.array(index.count[which])], names)
+
+    def send(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = pa.concat_tables(held).group_by(names[:3]).aggregate([("f", "sum")])
+        table = table.sort_by([(c, "ascending") for c in names[:3]])
+        langs, bucket = table.column("lang").to_pylist(), table.column("bucket").to_numpy()
+        phrases, f = table.column("phrase").to_pylist(), table.column("f_sum").to_numpy()
+        new = [i for i in range(len(langs)) if not i or langs[i] != langs[i - 1] or bucket[i] != bucket[i - 1]]
+        for i, j in zip(new, [*new[1:], len(langs)], strict=True):
+            yield pa.RecordBatch.from_pylist(
+                [
+                    {
+                        "bucket": int(bucket[i]), "lang": langs[i],
+                        # Words hold no line end.
+                        "phrases": zstandard.compress(b"\n".join(phrases[i:j])), "counts": zstandard.compress(f[i:j].tobytes()),
+                    }
+                ],
+                schema=schema,
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                index, names, of = _load(row)
-                for k in range(1, DEPTH + 1):
-                    if k > 1:
-                        _deepen(index, [shared.value[k - 2]], bits)
-                    ok = index.whole
-                    if k <= len(shared.value):
-                        at = (index.hash >> np.uint64(64 - bits)).astype(np.int64)
-                        ok = ok & ((shared.value[k - 1][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
-                    which = np.flatnonzero(ok)
-                    for i in range(0, len(which), 50_000):
-                        some = which[i : i + 50_000]
-                        words = index.words(index.low[some])
-                        yield pa.RecordBatch.from_pydict(
-                            {
-                                "lang": [row["langs"][x] for x in of[words[:, 0]]],
-                                "k": np.full(len(some), k, np.int32),
-                                "phrase": [b" ".join([names[w] for w in x]) for x in words.tolist()],
-                                "f": index.count[some],
-                            },
-                            schema=schema,
-                        )
-
-    return indexes.mapInArrow(run, "lang string, k int, phrase binary, f long")
+                for table in found(row):
+                    held.append(table)
+                    n += table.num_rows
+                if n >= GATHER:
+                    yield from send(held)
+                    held, n = [], 0
+        if n:
+            yield from send(held)
+
+    def total(table: pa.Table) -> pa.Table:
+        phrases = [x for raw in table.column("phrases").to_pylist() for x in zstandard.decompress(raw).split(b"\n")]
+        counts = b"".join(zstandard.decompress(x) for x in table.column("counts").to_pylist())
+        rows = pa.table([pa.array(phrases, pa.binary()), pa.array(np.frombuffer(counts, np.int64))], ["phrase", "f"])
+        rows = rows.group_by("phrase").aggregate([("f", "sum")])
+        rows = rows.filter(pc.greater_equal(rows.column("f_sum"), least))
+        phrases = rows.column("phrase").to_pylist()
+        lang = pa.array([table.column("lang")[0].as_py()] * len(phrases), pa.string())
+        k = pa.array([x.count(b" ") + 1 for x in phrases], pa.int32())
+        return pa.table([lang, k, pa.array(phrases, pa.binary()), rows.column("f_sum")], ["lang", "k", "phrase", "f"])
+
+    sent = indexes.mapInArrow(run, "bucket long, lang string, phrases binary, counts binary")
+    return sent.groupBy("bucket", "lang").applyInArrow(total, "lang string, k int, phrase binary, f long")
 
 
 def totals(indexes: DataFrame) -> DataFrame:
@@ -368,7 +409,7 @@ def count(df: DataFrame, text: str, lang: str, least: int = LEAST, shard: int =
     marks: list[np.ndarray] = []
     for _ in range(1, DEPTH):
         marks.append(frequent_hashes(indexes, marks, bits, buckets, width, least))
-    found = named(indexes, marks, bits).groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    found = named(indexes, marks, bits, buckets, least)
     found = found.withColumn("phrase", F.col("phrase").cast("string"))
     return materialise(found, "phrases"), materialise(totals(indexes), "totals")
 

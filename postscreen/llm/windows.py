@@ -93,7 +93,7 @@ class Words:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has; null is empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.coalesce(texts, pa.scalar("", texts.type))
         # The strings of special tokens are told by their case.
         plain = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         apart = pc.replace_substring_regex(plain, r"([0-9A-Za-z])([.,;:!?])", r"\1 \2")
