@@ -36,3 +36,12 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
 def binary(batch, name: str) -> list[bytes]:
     """A column of an Arrow batch as Python bytes; null becomes empty."""
     return [v if v is not None else b"" for v in batch.column(name).to_pylist()]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a working column that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name = f"_{name}"
+    return name

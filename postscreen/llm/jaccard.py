@@ -7,13 +7,16 @@ space is first cut, without loss, into crowds that cannot link to one another:
 * Two sets that link differ in at most D shingles, D being a known share of the smaller set. Cut
   the space of shingle hashes into more than D slices: each differing shingle spoils one slice, so at least one non-empty
   slice is equal in both. Sets that share no slice with another are linked with nothing; the
-  others fall into crowds by the slices that they share. Each task keeps one document for a slice and
+  others fall into crowds by the slices that they share. Crowds of more than a few documents are cut again, by
+  the rarest shingles of each set: the order from rare to common, counted within these crowds, is the same for all sets, and sets that
+  link share one of those that come first. Each task keeps one document for a slice or shingle and
   tells the crowds that it sees itself, so that a slice which is in a third of all
   documents leaves a task once.
 
-Each crowd is then joined by pivots. In a crowd that fits a task, pivots are taken one by one:
-a pivot's distance to every member is computed, members within the radius are linked, and a member
-whose links can no longer change anything is never compared. A crowd that doesn't fit goes through
+Each crowd is then joined by pivots. In a crowd that fits a task, a few pivots far from one another meet all members,
+those within the radius are linked, and the members left open fall into the Voronoi regions of their nearest
+pivots; windows of distances bring in the partners from beyond a region's border, and regions are joined in the
+same way, down to a few sets, or to regions that pivots don't divide, in which each open member meets all. A crowd that doesn't fit goes through
 levels: a few pivots per region get their distances to all members in many tasks; members that the pivots leave in different components
 are open; every open member goes to the Voronoi region of its nearest pivot, and the
 triangle inequality gives a window of distances to all pivots in which the partners of a region's open members must lie, so
@@ -44,7 +47,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postscreen.llm.common import binary, parts_for, small
+from postscreen.llm.common import binary, parts_for, small, unused
+from postscreen.llm.gaps import expand, squeeze
 from postscreen.llm.graph import components
 from postscreen.session import materialise
 
@@ -53,6 +57,11 @@ _UPPER = bytes(range(256)).lower()
 FITS = 6_000_000
 PIVOTS = 16
 LEVELS = 3
+# Within a task: sets that need no regions, pivots, levels of regions, the share of the sets that a region may hold, and
+# how often regions may repeat a set on average.
+FEW, CENTRES, DEEPEST, SHRINK, REPEAT = 32, 16, 6, 0.8, 1.5
+# Shingles of a crowd from which it is cut again by its rarest shingles.
+RECUT = 100_000
 
 
 @dataclass(frozen=True)
@@ -152,6 +161,91 @@ def slice_keys(hashes: np.ndarray, rule: Rule, classes: dict[int, tuple]) -> np.
     return np.unique(np.concatenate(out))
 
 
+# Numbers of a crowd's documents that share a shingle from which it counts as more common, and bits of each bitmap:
+# 4 to 8 for a shingle, at most 2^27, which are 16 MiB.
+COMMON = (2, 4, 16, 128)
+MAX_BITS = 27
+
+
+def prefix_keys(hashes: np.ndarray, rule: Rule, levels: list[np.ndarray]) -> np.ndarray:
+    """Keys of the rarest shingles of a set; two sets that link share one.
+
+    Shingles go by how common they are, then by hash, the same order for all sets. Two sets that link share more than all but
+    so many of the larger one's shingles that its rarest ones can't all be missing from the other, nor the
+    other's from it: so both prefixes hold a common shingle. Keys are made for the class of sizes, and, where a set can
+    link with one of the class below, for that too.
+    """
+    n = len(hashes)
+    if not rule.differ(n):
+        return np.empty(0, np.uint64)
+    rank = np.zeros(n, np.int64)
+    for mark in levels:
+        at = (hashes >> np.uint64(64 - (len(mark) * 8).bit_length() + 1)).astype(np.int64)
+        rank += (mark[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+    prefix = hashes[np.lexsort((hashes, rank))[: n - -(-n * rule.num // rule.den) + 1]]
+    number, low, _ = size_class(n, rule)
+    classes = [number, *([number - 1] if number and (low - 1) * rule.den >= n * rule.num else [])]
+    return np.unique(np.concatenate([_mix(prefix + np.uint64(c << 40)) for c in classes]))
+
+
+def commonness(df: DataFrame, rule: Rule, total: int) -> list[np.ndarray]:
+    """For each of ``COMMON``, a bitmap of the shingles that so many of the texts of ``df`` (raw) hold.
+
+    Tasks send the first bits of hashes and small counts in buckets of hash ranges. A bit that is set by chance only makes a shingle
+    count as more common than it is.
+    """
+    bits = min(MAX_BITS, max(16, int(total).bit_length() + 3))
+    buckets = min(bits - 3, (parts_for(total, GATHER) - 1).bit_length())
+    width = min(64, bits + 4)
+    schema = pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = np.unique(np.concatenate(held) >> np.uint64(64 - width), return_counts=True)
+        counts = np.minimum(counts, COMMON[-1]).astype(np.uint8)
+        bucket = (hashes >> np.uint64(width - buckets)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+        rows = [
+            {"bucket": int(bucket[i]), "hashes": squeeze(hashes[i:j] & np.uint64((1 << (width - buckets)) - 1)), "counts": counts[i:j].tobytes()}
+            for i, j in zip(starts, [*starts[1:], len(hashes)], strict=True)
+        ]
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, held, n = Shingler(rule.words), [], 0
+        for batch in batches:
+            for raw in binary(batch, "raw"):
+                held.append(shingles(raw))
+                n += len(held[-1])
+                if n >= GATHER:
+                    yield from send(held)
+                    held, n = [], 0
+        if n:
+            yield from send(held)
+
+    def add(table: pa.Table) -> pa.Table:
+        hashes = np.concatenate([expand(x) for x in table.column("hashes").to_pylist()])
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).astype(np.int64)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        sums, at = np.add.reduceat(counts[order], starts), (hashes[starts] >> np.uint64(width - bits)).astype(np.int64)
+        out = []
+        for least in COMMON:
+            part = np.zeros(1 << (bits - buckets), np.uint8)
+            part[at[sums >= least]] = 1
+            out.append(np.packbits(part).tobytes())
+        return pa.table({"bucket": table.column("bucket")[:1], "bits": pa.array([out], pa.list_(pa.binary()))})
+
+    sent = df.select("raw").mapInArrow(count, "bucket long, hashes binary, counts binary")
+    found = sent.groupBy("bucket").applyInArrow(add, "bucket long, bits array<binary>")
+    levels = [np.zeros((1 << bits) // 8, np.uint8) for _ in COMMON]
+    each = len(levels[0]) >> buckets
+    for row in found.toLocalIterator():
+        for level, part in zip(levels, row["bits"], strict=True):
+            level[row["bucket"] * each : (row["bucket"] + 1) * each] = np.frombuffer(part, np.uint8)
+    return levels
+
+
 def prints(df: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     """key, n_shingles and fp (128 bits of the set) for each row."""
 
@@ -248,15 +342,19 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
 
-def sharing(df: DataFrame, key: str, text: str, rule: Rule, n_buckets: int) -> DataFrame:
-    """Pairs (a, b) that join the documents which share a slice."""
+def sharing(
+    df: DataFrame, key: str, text: str, rule: Rule, n_buckets: int, levels: list[np.ndarray] | None = None
+) -> DataFrame:
+    """Pairs (a, b) that join the documents which share a slice, or, given ``levels``, a shingle of their prefixes."""
+    shared = df.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, classes = Shingler(rule.words), {}
+        shingles, classes, marks = Shingler(rule.words), {}, shared.value
         keys, nodes, held = [], [], 0
         for batch in batches:
             for node, raw in zip(batch.column("node").to_pylist(), binary(batch, "raw"), strict=True):
-                found = slice_keys(shingles(raw), rule, classes)
+                found = shingles(raw)
+                found = slice_keys(found, rule, classes) if marks is None else prefix_keys(found, rule, marks)
                 if len(found):
                     keys.append(found)
                     nodes.append(node)
@@ -344,13 +442,68 @@ def local_links(found: list[np.ndarray], open_: np.ndarray, rule: Rule) -> list[
     return links
 
 
+def region_links(found: list[np.ndarray], open_: np.ndarray, rule: Rule, depth: int = 0) -> list[tuple[int, int]]:
+    """Links that join the sets into their components, over Voronoi regions of a few pivots.
+
+    Pivots are open sets far from one another. Each meets all sets, and links with those within the radius. A set outside the main
+    component that has been no pivot is still open and belongs to the region of its nearest pivot; partners of
+    a region's open sets have, to every pivot, a distance within the radius of one of theirs, so the sets between the
+    least and the greatest, wherever they are, join the region. Regions that pivots hardly divide are joined set by set.
+    """
+    n = len(found)
+    if n <= FEW or open_.sum() <= FEW or depth == DEEPEST:
+        return local_links(found, open_, rule)
+    sizes = np.array([len(s) for s in found])
+    distinct, starts, holders = inverted(found)
+    distances, pivots, nearest = [], [], np.full(n, np.inf)
+    comp = np.where(open_, np.arange(n), n)
+    links = []
+    for _ in range(CENTRES):
+        far = np.where(open_, nearest, -1.0)
+        p = int(far.argmax())
+        if far[p] <= rule.radius:
+            break
+        lists = np.searchsorted(distinct, found[p])
+        both = np.bincount(np.concatenate([holders[starts[i] : starts[i + 1]] for i in lists]), minlength=n)
+        union = sizes + sizes[p] - both
+        d = 1 - both / union
+        near = np.flatnonzero(rule.den * both >= rule.num * union)
+        joined = np.unique(comp[near], return_index=True)
+        links += [(p, int(near[i])) for c, i in zip(*joined, strict=True) if c != comp[p]]
+        comp[np.isin(comp, joined[0])] = comp[p]
+        distances.append(d)
+        pivots.append(p)
+        nearest = np.minimum(nearest, d)
+        nearest[p] = -1
+    main = comp[~open_][0] if not open_.all() else np.bincount(comp).argmax()
+    still = open_ & (comp != main)
+    still[pivots] = False
+    taking_part = still | (comp == main) if not open_.all() else np.ones(n, bool)
+    d = np.stack(distances, axis=1)
+    home = d.argmin(axis=1)
+    inside = []
+    for region in np.unique(home[still]):
+        inner = still & (home == region)
+        low, high = d[inner].min(axis=0) - rule.radius - 1e-9, d[inner].max(axis=0) + rule.radius + 1e-9
+        inside.append(np.flatnonzero(((d >= low) & (d <= high)).all(axis=1) & taking_part))
+    if sum(map(len, inside)) > REPEAT * n:
+        # The pivots hardly divide these sets.
+        return links + local_links(found, comp != main, rule)
+    for members in inside:
+        # Sets that are not open must be of one component, the main one; others from beyond the border stay open.
+        way = region_links if len(members) <= SHRINK * n else local_links
+        more = way([found[i] for i in members], comp[members] != main, rule, *([depth + 1] if way is region_links else []))
+        links += [(int(members[a]), int(members[b])) for a, b in more]
+    return links
+
+
 def _join_groups(pdf: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     out: list[tuple[int, int]] = []
     pdf = pdf.sort_values(["group", "node"])
     for _, rows in pdf.groupby("group", sort=False):
         nodes = rows["node"].to_numpy()
         found = [h.view(np.uint64) for h in rows["hashes"]]
-        links = local_links(found, rows["open"].to_numpy(bool), rule)
+        links = region_links(found, rows["open"].to_numpy(bool), rule)
         out += [(nodes[a], nodes[b]) for a, b in links]
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
@@ -535,14 +688,29 @@ def link(df: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame, Dat
     crowds = components(pairs).join(small(materialise(away, "away")), "node", "left_anti")
     sizes = rows.filter("key is not null").groupBy(F.col("key").alias("node")).agg(F.sum("n_shingles").alias("n_shingles"))
     crowds = materialise(crowds.join(sizes, "node"), "crowds")
-    weights = crowds.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    weights = small(materialise(weights.select("component", "total"), "weights"))
-    crowd = materialise(crowds.join(weights, "component").select(F.col("component").alias("group"), "node", "total"), "crowds")
     texts = df.select(F.col(key).cast("long").alias("node"), F.col(text).cast("binary").alias("raw"))
 
+    def weighed(of: DataFrame) -> DataFrame:
+        """group, node, total (shingles of the group) of the crowds of more than one document."""
+        sums = of.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+        sums = small(materialise(sums.select("component", "total"), "weights"))
+        return materialise(of.join(sums, "component").select(F.col("component").alias("group"), "node", "n_shingles", "total"), "crowds")
+
     def members(of: DataFrame) -> DataFrame:
         return sets(texts.join(small(of.select("group", "node")), "node"), rule).withColumn("open", F.lit(True))
 
+    crowd = weighed(crowds)
+    wide = crowd.filter(F.col("total") > RECUT)
+    held = wide.agg(F.sum("n_shingles")).first()[0]
+    if held:
+        # Chance and passages that many documents hold chain slices together; what is rare within the crowds does not.
+        inside = materialise(texts.join(small(wide.select("node")), "node"), "inside")
+        levels = commonness(inside, rule, held)
+        n_keys = max(parts_for(held * (1 - rule.num / rule.den), GATHER), int(conf.get("spark.sql.shuffle.partitions")))
+        again = components(sharing(inside, "node", "raw", rule, n_keys, levels))
+        again = weighed(again.join(wide.select("node", "n_shingles"), "node"))
+        crowd = crowd.filter(F.col("total") <= RECUT).unionByName(again)
+
     fitting, large = crowd.filter(F.col("total") <= FITS), crowd.filter(F.col("total") > FITS)
     total = fitting.select("group", "total").distinct().agg(F.sum("total")).first()[0] or 0
     found = [join_local(members(fitting), parts_for(total, FITS), rule)]
@@ -563,11 +731,21 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Ru
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """The rows of ``df`` without those linked to a document with a smaller key.
 
-    Of rows that share a key one stays; rows without a key stay.
+    Of rows that share key and text the one with the smallest hash of its contents stays, so that reruns agree; rows without a
+    key stay, and so do other texts of a key.
     """
-    found = materialise(join(df, key, text, rule).select(F.col(key).alias("_key"), "component_id"), "groups")
-    away = small(materialise(found.filter("_key <> component_id").select("_key").distinct(), "away"))
-    kept = df.join(away, F.col(key) == F.col("_key"), "left_anti")
-    if found.filter("_key is not null").groupBy("_key").count().filter("count > 1").isEmpty():
+    mine = unused(df, "key")
+    found = materialise(join(df, key, text, rule).select(F.col(key).alias(mine), "component_id"), "groups")
+    away = small(materialise(found.filter(F.col(mine) != F.col("component_id")).select(mine).distinct(), "away"))
+    kept = df.join(away, F.col(f"`{key}`") == F.col(mine), "left_anti")
+    several = found.filter(F.col(mine).isNotNull()).groupBy(mine).count().filter("count > 1").select(mine)
+    several = materialise(several, "several")
+    if several.isEmpty():
         return kept
-    return kept.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.filter(F.col(key).isNull()))
+    several = small(several)
+    same = F.col(f"`{key}`") == F.col(mine)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    # Partial aggregates keep one row of a text for each task, however often it is there.
+    one = kept.join(several, same, "left_semi").groupBy(columns[df.columns.index(key)].alias("k"), F.md5(F.coalesce(f"`{text}`", F.lit(""))).alias("d"))
+    one = one.agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
+    return kept.join(several, same, "left_anti").unionByName(one)

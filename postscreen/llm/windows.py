@@ -103,7 +103,7 @@ class Words:
         words = split.flatten().dictionary_encode()
         if len(self.known) > REMEMBER:
             self.clear()
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [w for w in distinct if w not in self.known]
         if new:
             self._learn(new)

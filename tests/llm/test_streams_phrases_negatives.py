@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from postscreen.llm import negatives, phrases, windows
+from postscreen.llm import gaps, negatives, phrases, windows
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 CLASH = ("key", "ids", "start", "length", "text_", "lang_", "raw", "k", "f", "rank", "score", "label_", "vec", "asked", "_row")
@@ -145,7 +145,7 @@ def test_squeezed_numbers_come_back(top):
     rng = np.random.default_rng(4)
     for n in (0, 1, 500):
         x = np.sort(rng.integers(0, top, n, dtype=np.uint64))
-        assert (phrases.expand(phrases.squeeze(x)) == x).all()
+        assert (gaps.expand(gaps.squeeze(x)) == x).all()
 
 
 def test_phrase_counts_equal_plain_counts(spark):
