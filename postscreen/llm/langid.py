@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postscreen.llm.common import fold
+from postscreen.llm.common import fold, unused
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -136,12 +136,13 @@ def predict(
     shared = df.sparkSession.sparkContext.broadcast(model)
     df = df.drop(language, posterior)
     schema = df.withColumns({language: F.lit(""), posterior: F.lit(0.0)}).schema
-    flagged = df.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    flag = unused(df, "letters")
+    flagged = df.withColumn(flag, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False)
+            letters = batch.column(flag).to_numpy(zero_copy_only=False)
             names = np.full(batch.num_rows, UNKNOWN, object)
             best = np.zeros(batch.num_rows)
             rows = np.flatnonzero(letters)
@@ -154,7 +155,7 @@ def predict(
                 top = share.argmax(axis=1)
                 names[rows] = np.array(known.languages, object)[top]
                 best[rows] = share[np.arange(len(rows)), top]
-            kept = batch.drop_columns(["_letters"])
+            kept = batch.drop_columns([flag])
             arrays = [*kept.columns, pa.array(names, pa.string()), pa.array(best)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept.schema.names, language, posterior])
 
@@ -173,8 +174,14 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return scored.select(F.col("key").alias(key), "held_out", "lang_pred", "score")
 
 
-def keep_identified(df: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``df`` whose text has a language, by a posterior of ``least`` or more."""
-    found = predict(df, text, model, "_language", "_posterior")
-    kept = found.filter((F.col("_language") != UNKNOWN) & (F.col("_posterior") >= least))
-    return kept.select(*df.columns)
+def keep_identified(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text has a language: all but null texts and those without a letter.
+
+    A text between two close languages has one of them, so no posterior is too low. Where no language could be
+    learned, no text can be told to have none, and all rows stay.
+    """
+    if not model.languages:
+        return df
+    language, posterior = unused(df, "language"), unused(df, "posterior")
+    found = predict(df, text, model, language, posterior)
+    return found.filter(F.col(language) != UNKNOWN).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postscreen.llm.common import binary
+from postscreen.llm.common import binary, unused
 
 # The base phrases and their labels.
 BASE = {
@@ -195,7 +195,8 @@ def scan(df: DataFrame, text: str, index: Index | None = None) -> DataFrame:
     df = df.drop("n_words", "places")
     shared = df.sparkSession.sparkContext.broadcast(index)
     place = "array<struct<label:string,base:boolean,start:bigint,score:double>>"
-    kept = df.withColumn("_raw", F.col(text).cast("binary"))
+    column = unused(df, "raw")
+    kept = df.withColumn(column, F.col(text).cast("binary"))
     arrow = pa.list_(
         pa.struct([("label", pa.string()), ("base", pa.bool_()), ("start", pa.int64()), ("score", pa.float64())])
     )
@@ -204,7 +205,7 @@ def scan(df: DataFrame, text: str, index: Index | None = None) -> DataFrame:
         idx = shared.value
         for batch in batches:
             counts, places = [], []
-            for raw in binary(batch, "_raw"):
+            for raw in binary(batch, column):
                 file = words(raw)
                 counts.append(len(file))
                 places.append(
@@ -213,7 +214,7 @@ def scan(df: DataFrame, text: str, index: Index | None = None) -> DataFrame:
                         for i, at, s in align(file, idx)
                     ]
                 )
-            rest = batch.drop_columns(["_raw"])
+            rest = batch.drop_columns([column])
             yield pa.RecordBatch.from_arrays(
                 [*rest.columns, pa.array(counts, pa.int64()), pa.array(places, arrow)],
                 names=[*rest.schema.names, "n_words", "places"],

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postscreen.llm.common import fold
+from postscreen.llm.common import fold, unused
 from postscreen.session import materialise
 
 # Words may hold characters that stand in for letters.
@@ -310,10 +310,10 @@ class ToxicityModel:
 
 def _kinds(
     df: DataFrame, text: str, entries: list[tuple[str, bool]], other: frozenset[str],
-    scores: dict[str, float] | None = None,
+    scores: dict[str, float] | None = None, name: str = "kind",
 ) -> DataFrame:
-    """``df`` with ``_kind``: '' or the strongest kind of evidence, by ``scores`` where they are known."""
-    schema = df.withColumn("_kind", F.lit("")).schema
+    """``df`` with ``name``: '' or the strongest kind of evidence, by ``scores`` where they are known."""
+    schema = df.withColumn(name, F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, cache = Automaton(entries), {}
@@ -321,7 +321,7 @@ def _kinds(
             found = [evidence(t or "", automaton, cache, other) for t in batch.column(text).to_pylist()]
             kinds = [max(f, key=scores.__getitem__) if f and scores else f[0] if f else "" for f in found]
             arrays = [*batch.columns, pa.array(kinds, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "_kind"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, schema)
 
@@ -363,10 +363,10 @@ def fit(labelled: DataFrame, text: str, label: str, **options) -> ToxicityModel:
     near = lookalikes(counts, entries, total["toxic"], total["clean"])
     # A word seen in one clean text only could not have been known for that text.
     often = frozenset(w for w, n in near.items() if n > 1)
-    found = _kinds(rows, "text", entries, often).groupBy("_kind").agg(
+    found = _kinds(rows, "text", entries, often).groupBy("kind").agg(
         F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("rows")
     )
-    scores = smoothed({r["_kind"]: (r["toxic"], r["rows"]) for r in found.collect()})
+    scores = smoothed({r["kind"]: (r["toxic"], r["rows"]) for r in found.collect()})
     return ToxicityModel(entries, frozenset(near), scores)
 
 
@@ -391,7 +391,9 @@ def score(df: DataFrame, text: str, model: ToxicityModel, name: str = "score") -
     if not model.entries:
         return df.withColumn(name, F.lit(model.scores.get("", 0.0)))
     known = F.create_map(*[F.lit(x) for kv in sorted(model.scores.items()) for x in kv])
-    return _kinds(df, text, model.entries, model.other, model.scores).withColumn(name, known[F.col("_kind")]).drop("_kind")
+    kind = unused(df, "kind")
+    found = _kinds(df, text, model.entries, model.other, model.scores, kind)
+    return found.withColumn(name, known[F.col(kind)]).drop(kind)
 
 
 def training_rows(
@@ -399,17 +401,25 @@ def training_rows(
 ) -> DataFrame:
     """Text and label of the labelled rows whose crc32 of the key, modulo 4, is not 2.
 
-    At most ``per_label`` rows of each label, the first by the hash of the key; so the keys that
-    are broadcast are bounded, and no text is shuffled.
+    At most about ``per_label`` rows of each label: labels go by the hash of their key, and where documents repeat
+    keys, a share of the rows is taken by their number. So the keys that are broadcast and the rows that are
+    learned from are bounded, and no text is shuffled. A key with several labels has the largest.
     """
     marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     marks = marks.filter(F.col("key").isNotNull() & (fold(F.col("key"), 4) != 2))
+    marks = marks.groupBy("key").agg(F.max("label").alias("label"))
     chosen = [
         marks.filter(F.col("label") == y).orderBy(F.xxhash64("key"), "key").limit(per_label)
         for y in (0, 1)
     ]
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.join(F.broadcast(chosen[0].union(chosen[1])), "key").select("text", "label")
+    marks = F.broadcast(materialise(chosen[0].union(chosen[1]), "labels"))
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.join(marks, "key")
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if max(counts.values(), default=0) > per_label:
+        share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(1.0, per_label / n))])[F.col("label")]
+        rows = rows.filter(F.pmod(F.xxhash64("key", "row"), F.lit(1 << 20)) < share * (1 << 20))
+    return rows.select("text", "label")
 
 
 def detect(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.3) -> DataFrame:

@@ -38,6 +38,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 # An empty skippable frame (type 0x184D2A50, length 0); it is ASCII and so can be Spark's line end.
 EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"
 BOILERPLATE = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http; msgtype=response\r\n"
+SAMPLE_BYTES = 256 << 10
 MIN_REVISIT_BYTES = 100
 
 RECORDS = pa.schema([("frame", pa.binary())])
@@ -101,11 +102,17 @@ def mark_revisits(
 def train_dictionary(
     df: DataFrame, key: str, payload: Column, sample: int = 200, size: int = 65536
 ) -> bytes:
-    """A dictionary fitted to a bounded sample: ``sample`` rows, the first by the hash of the key."""
-    ids = df.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample)
-    ids = [r[0] for r in ids.collect()]
-    texts = df.filter(F.col(key).isin(ids)).select(payload.alias("payload")) if ids else None
-    samples = [bytes(r[0]) for r in texts.collect() if r[0]] if texts is not None else []
+    """A dictionary fitted to a bounded sample: ``sample`` distinct payloads, the first by the hash of a key that has them.
+
+    Payloads over ``SAMPLE_BYTES`` are none of the sample, which is thereby bounded in bytes too.
+    """
+    rows = df.select(F.col(key).alias("key"), payload.alias("payload")).filter(F.col("key").isNotNull())
+    rows = rows.filter(F.octet_length("payload").between(1, SAMPLE_BYTES)).withColumn("digest", F.md5("payload"))
+    order = rows.groupBy("digest").agg(F.min(F.xxhash64("key")).alias("first")).orderBy("first", "digest").limit(sample)
+    digests = [r["digest"] for r in order.collect()]
+    # One payload for each digest leaves a task.
+    texts = rows.filter(F.col("digest").isin(digests)).groupBy("digest").agg(F.any_value("payload").alias("payload"))
+    samples = [bytes(r["payload"]) for r in texts.orderBy("digest").collect()] if digests else []
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too little to train on: the texts themselves are the dictionary
