@@ -1,81 +1,5 @@
-"""From raw documents to packed sequences, in five stages over whole tables.
+"""The pipeline over raw documents; its stages are in the subpackage of the operators."""
 
-Each stage takes what the one before has kept. Toxicity drops documents of score 0.3 or more, language ID those whose
-language it can't tell, the near-duplicate stage all but one document of each group (five-word
-shingles, similarity 0.8), mixing repeats or drops documents by the sources' weights, and packing
-returns where each part of a document goes. All but the last return the columns of ``documents``.
-Empty tables pass through every stage.
-"""
+from postscreen.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from postscreen.llm import jaccard, langid, mixing, packing, toxicity
-from postscreen.llm.common import fold, small, table, word_count
-from postscreen.operators.ordinal import with_ordinal
-from postscreen.session import materialise
-
-THRESHOLD = 0.3
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled documents of the training folds, and drops what it predicts."""
-    rows = toxicity.training_rows(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
-    model = toxicity.fit(rows, "text", "label")
-    scored = toxicity.score(docs, "text", model, "_toxic")
-    return scored.filter(F.col("_toxic") < THRESHOLD).select(*docs.columns)
-
-
-def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the training folds of the documents that are left, and keeps those with a language."""
-    train = docs.filter(F.coalesce(fold(F.col("doc_id"), 5) != 0, F.lit(False)))
-    return langid.keep_identified(docs, langid.fit(train, "text", "lang"))
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs, "doc_id", "text", jaccard.Rule(words=5, num=80, den=100))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it: not at all, once or twice.
-
-    Rows are told apart by a number of their own, as keys may be null or repeat. The mix goes by their place in
-    the order of keys and contents, which doesn't depend on partitions; only equal rows may change places.
-    """
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    narrow = numbered.select(
-        "_row", "doc_id", F.xxhash64(*docs.columns).alias("_content"), word_count(F.col("text")).alias("_size"), "source"
-    )
-    placed = materialise(with_ordinal(narrow, ["doc_id", "_content", "_row"], "_place"), "placed")
-    mixed = mixing.mix(placed, "_place", F.col("_size"), "source")
-    taken = mixed.filter("copies > 0").select("_place", "copies")
-    taken = materialise(placed.select("_place", "_row").join(taken, "_place").drop("_place"), "taken")
-    rows = numbered.join(small(taken), "_row")
-    repeated = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*docs.columns)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sized = docs.select("doc_id", word_count(F.col("text")).alias("size"))
-    return packing.pack_rows(sized, "doc_id", "size")
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("language_id", keep_languages),
-    ("near_duplicates", drop_near_copies),
-    ("mixing", mix_sources),
-    ("packing", pack),
-]
-
-# No stage but the last two could be told in SQL; the tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
