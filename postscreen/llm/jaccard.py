@@ -4,13 +4,12 @@ Nearly all pairs of documents are at distance about 1, where no pivot tells them
 space is first cut, without loss, into crowds that cannot link to one another:
 
 * Equal sets become one, the one with the smallest document.
-* Two sets that link differ in at most D shingles, D being a known share of the smaller set. Cut
-  the space of shingle hashes into more than D slices: each differing shingle spoils one slice, so at least one non-empty
-  slice is equal in both. Sets that share no slice with another are linked with nothing; the
-  others fall into crowds by the slices that they share. Crowds of more than a few documents are cut again, by
-  the rarest shingles of each set: the order from rare to common, counted within these crowds, is the same for all sets, and sets that
-  link share one of those that come first. Each task keeps one document for a slice or shingle and
-  tells the crowds that it sees itself, so that a slice which is in a third of all
+* Shingles have an order from rare to common, the same for all sets: by how many documents hold them, told by bitmaps of
+  bounded size, then by hash. Two sets that link share all but so few of their shingles that they
+  share one of the rarest of each. Sets that share none of these with another are linked with nothing; the others fall into
+  crowds by the rare shingles that they share. Passages that many documents hold are common, and chain nothing.
+  Crowds of more than a few documents are cut again in the same way, counted within these crowds. Each task keeps one
+  document for a shingle and tells the crowds that it sees itself, so that a shingle which is in a third of all
   documents leaves a task once.
 
 Each crowd is then joined by pivots. In a crowd that fits a task, a few pivots far from one another meet all members,
@@ -23,7 +22,7 @@ triangle inequality gives a window of distances to all pivots in which the partn
 that members of other regions near the border are replicated into it. Regions that fit a task are joined there,
 others go to the next level, and what is still too large after the last level is joined in blocks of open members against blocks of all.
 
-Shingles are compared by 64-bit hashes, equal sets by 128 bits and slices by 40 bits and their bucket; slices
+Shingles are compared by 64-bit hashes, equal sets by 128 bits and rare shingles by 40 bits and their bucket; those
 that are taken for equal by chance only make a crowd larger. Text is in words
 between ASCII white space, with A-Z lower-cased.
 
@@ -54,7 +53,7 @@ from postscreen.session import materialise
 
 _UPPER = bytes(range(256)).lower()
 # Shingles that one task may hold, and pivots for each region and level.
-FITS = 6_000_000
+FITS = 4_000_000
 PIVOTS = 16
 LEVELS = 3
 # Within a task: sets that need no regions, pivots, levels of regions, the share of the sets that a region may hold, and
@@ -128,43 +127,10 @@ def size_class(n: int, rule: Rule) -> tuple[int, int, int]:
         k, low = k + 1, high
 
 
-def slice_keys(hashes: np.ndarray, rule: Rule, classes: dict[int, tuple]) -> np.ndarray:
-    """Keys of the non-empty slices of a set; two sets that link share one.
-
-    A set has slices for its class of sizes, and, if it can link with a set of the class below, for
-    that too. The argument needs more non-empty slices than shingles that may differ, which is
-    what the smaller set allows; there are a few slices more than that, as some are empty, and while
-    they don't suffice, the set is cut into twice as many as well.
-    """
-    n = len(hashes)
-    if not rule.differ(n):
-        return np.empty(0, np.uint64)  # it links with equal sets only
-    if n not in classes:
-        number, low, high = size_class(n, rule)
-        own = [(number, high, n)]
-        if number and (low - 1) * rule.den >= n * rule.num:
-            own.append((number - 1, low, low - 1))
-        classes[n] = tuple((c, rule.differ(h - 1) * 107 // 100 + 2, rule.differ(smaller)) for c, h, smaller in own)
-    mixed = _mix(hashes)
-    top = hashes >> np.uint64(32)
-    out = []
-    for number, m, spare in classes[n]:
-        while True:
-            part = (top * np.uint64(m)) >> np.uint64(32)
-            starts = np.flatnonzero(np.diff(part, prepend=part[:1] + np.uint64(1)))
-            sums = np.add.reduceat(mixed, starts)
-            # A class and a number of slices use numbers of their own.
-            out.append(_mix(sums + _mix(part[starts] + np.uint64((number << 56) + (m << 28)))))
-            if len(starts) > spare:
-                break
-            m *= 2
-    return np.unique(np.concatenate(out))
-
-
-# Numbers of a crowd's documents that share a shingle from which it counts as more common, and bits of each bitmap:
-# 4 to 8 for a shingle, at most 2^27, which are 16 MiB.
+# Numbers of documents that share a shingle from which it counts as more common, and bits of each bitmap:
+# 4 to 8 for a shingle, at most 2^26, which are 8 MiB.
 COMMON = (2, 4, 16, 128)
-MAX_BITS = 27
+MAX_BITS = 26
 
 
 def prefix_keys(hashes: np.ndarray, rule: Rule, levels: list[np.ndarray]) -> np.ndarray:
@@ -295,19 +261,19 @@ def meet(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys[new], nodes[new], *stars(nodes[shared], first[shared])
 
 
-# Slice keys that a task gathers before it hands them on, and that a bucket holds.
+# Shingles and keys that a task gathers before it hands them on, and that a bucket holds.
 GATHER = 2_000_000
 LOW_BITS = np.uint64((1 << 40) - 1)
 
 
 def _dealt(keys: list[np.ndarray], nodes: list[int], n_buckets: int) -> pa.RecordBatch:
-    """Rows of one bucket each: slices with their documents, or pairs that are known to share a slice."""
+    """Rows of one bucket each: keys with their documents, or pairs that are known to share a key."""
     owner = np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])
     flat, owner, a, b = meet(np.concatenate(keys), owner)
     bucket = ((flat >> np.uint64(40)) * np.uint64(n_buckets)) >> np.uint64(24)
     order = np.lexsort((owner, bucket))
     flat, owner, bucket = flat[order] & LOW_BITS, owner[order], bucket[order]
-    # Five bytes a slice, and for each document of a bucket how many of them are its own.
+    # Five bytes a key, and for each document of a bucket how many of them are its own.
     packed = flat.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
     change = np.ones(len(flat), bool)
     change[1:] = (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])
@@ -343,18 +309,17 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def sharing(
-    df: DataFrame, key: str, text: str, rule: Rule, n_buckets: int, levels: list[np.ndarray] | None = None
+    df: DataFrame, key: str, text: str, rule: Rule, n_buckets: int, levels: list[np.ndarray]
 ) -> DataFrame:
-    """Pairs (a, b) that join the documents which share a slice, or, given ``levels``, a shingle of their prefixes."""
+    """Pairs (a, b) that join the documents which share one of their rarest shingles, by the bitmaps of ``levels``."""
     shared = df.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, classes, marks = Shingler(rule.words), {}, shared.value
+        shingles, marks = Shingler(rule.words), shared.value
         keys, nodes, held = [], [], 0
         for batch in batches:
             for node, raw in zip(batch.column("node").to_pylist(), binary(batch, "raw"), strict=True):
-                found = shingles(raw)
-                found = slice_keys(found, rule, classes) if marks is None else prefix_keys(found, rule, marks)
+                found = prefix_keys(shingles(raw), rule, marks)
                 if len(found):
                     keys.append(found)
                     nodes.append(node)
@@ -475,6 +440,7 @@ def region_links(found: list[np.ndarray], open_: np.ndarray, rule: Rule, depth:
         pivots.append(p)
         nearest = np.minimum(nearest, d)
         nearest[p] = -1
+    del distinct, starts, holders  # not held while the regions make their own
     main = comp[~open_][0] if not open_.all() else np.bincount(comp).argmax()
     still = open_ & (comp != main)
     still[pivots] = False
@@ -678,9 +644,15 @@ def link(df: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame, Dat
     copies = materialise(copies.select("key", "rep").distinct(), "copies")
 
     conf = df.sparkSession.conf
-    amount = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    slices = 2 * amount * (rule.den - rule.num) / rule.num
-    pairs = sharing(df, key, text, rule, max(parts_for(slices, GATHER), int(conf.get("spark.sql.shuffle.partitions"))))
+
+    def sharing_rare(texts: DataFrame, amount: int) -> DataFrame:
+        """Pairs of the documents of ``texts`` (node, raw) that share a rare shingle; they hold ``amount`` shingles."""
+        keys = 2 * amount * (1 - rule.num / rule.den)
+        n_buckets = max(parts_for(keys, GATHER), int(conf.get("spark.sql.shuffle.partitions")))
+        return sharing(texts, "node", "raw", rule, n_buckets, commonness(texts, rule, amount))
+
+    texts = df.select(F.col(key).cast("long").alias("node"), F.col(text).cast("binary").alias("raw"))
+    pairs = sharing_rare(texts, rows.agg(F.sum("n_shingles")).first()[0] or 0)
     # A document all of whose texts are copies of others' leaves its links to those.
     mixed = F.min(F.xxhash64("fp")) != F.max(F.xxhash64("fp"))
     several = keyed.groupBy("key").agg(mixed.alias("mixed")).filter("mixed").select("key")
@@ -688,7 +660,6 @@ def link(df: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame, Dat
     crowds = components(pairs).join(small(materialise(away, "away")), "node", "left_anti")
     sizes = rows.filter("key is not null").groupBy(F.col("key").alias("node")).agg(F.sum("n_shingles").alias("n_shingles"))
     crowds = materialise(crowds.join(sizes, "node"), "crowds")
-    texts = df.select(F.col(key).cast("long").alias("node"), F.col(text).cast("binary").alias("raw"))
 
     def weighed(of: DataFrame) -> DataFrame:
         """group, node, total (shingles of the group) of the crowds of more than one document."""
@@ -703,11 +674,9 @@ def link(df: DataFrame, key: str, text: str, rule: Rule) -> tuple[DataFrame, Dat
     wide = crowd.filter(F.col("total") > RECUT)
     held = wide.agg(F.sum("n_shingles")).first()[0]
     if held:
-        # Chance and passages that many documents hold chain slices together; what is rare within the crowds does not.
+        # In a large corpus the bitmaps fill up, and sets are chained by chance; within the crowds they tell what is rare.
         inside = materialise(texts.join(small(wide.select("node")), "node"), "inside")
-        levels = commonness(inside, rule, held)
-        n_keys = max(parts_for(held * (1 - rule.num / rule.den), GATHER), int(conf.get("spark.sql.shuffle.partitions")))
-        again = components(sharing(inside, "node", "raw", rule, n_keys, levels))
+        again = components(sharing_rare(inside, held))
         again = weighed(again.join(wide.select("node", "n_shingles"), "node"))
         crowd = crowd.filter(F.col("total") <= RECUT).unionByName(again)
 
