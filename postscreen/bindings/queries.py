@@ -7,6 +7,7 @@ prediction where no model is needed. The tables hold no missing text, blank text
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postscreen.functions import fill_text, remove_emoji, strip, tokens
-from postscreen.operators import bayes, errors, features, linear, metrics, ordinal, report, sampling
+from postscreen.operators import bayes, epochs, errors, features, linear, metrics, ordinal, report, sampling, subwords
 from postscreen.operators.dedup import keep_first
 from postscreen.operators.union import union_sources
 from postscreen.plans import datasets, training
@@ -427,6 +428,49 @@ def meta_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.train_stacked(data, "doc_id").scores
 
 
+EPOCHS = epochs.Settings(batch_size=512)
+
+
+def epoch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validation side scored by a model after each of its epochs."""
+    split = sampling.split(labelled_texts(spark, sf_dir), "doc_id")
+    done = epochs.fit_epochs(split.filter("side = 'train'"), "doc_id", "text", LABEL, new_table_path(spark, "epochs"), EPOCHS)
+    return epochs.score_epochs(done, split.filter("side = 'val'"), "text", EPOCHS, "doc_id", LABEL)
+
+
+def metrics_by_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.metrics(epoch_scores(spark, sf_dir), LABEL, "pred", ["epoch"])
+
+
+# A public vocabulary and its ids of the start and the end of a text.
+SUBWORDS, SUBWORD_START, SUBWORD_END = "word_bpe_49k.json", 49406, 49407
+
+
+def _subword_file() -> str:
+    return importlib.import_module("public_tokenizers").path(SUBWORDS)
+
+
+def subword_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each subword of the vocabulary occurs."""
+    return subwords.subword_counts(texts(spark, sf_dir), "text", _subword_file())
+
+
+def subword_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = subwords.encode_subwords(texts(spark, sf_dir), "text", _subword_file(), SUBWORD_START, SUBWORD_END)
+    return coded.select("doc_id", "input_ids", "attention_mask")
+
+
+def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, ids and padding over all batches, each padded to its longest row."""
+    batches = subwords.pad_batches(subword_encode(spark, sf_dir), "doc_id")
+    used = F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x)
+    return batches.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(used).alias("ids"),
+        F.sum(F.size("input_ids") - used).alias("padding"),
+    )
+
+
 def external_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in for an outside model: longer posts are likelier to be of class 1."""
 
@@ -644,6 +688,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "error_files": error_files,
     "lr_predict": lr_predict,
     "meta_predict": meta_predict,
+    "epoch_scores": epoch_scores,
+    "metrics_by_epoch": metrics_by_epoch,
+    "subword_vocab": subword_vocab,
+    "subword_encode": subword_encode,
+    "padded_batches": padded_batches,
     "external_score": external_score,
     "build_scraped": build_scraped,
     "build_final": build_final,
