@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
@@ -17,14 +20,38 @@ _FIGURES = (
 
 
 def save_model(spark: SparkSession, model: Model, path: str) -> None:
-    """Write a model, replacing what is there, with a note of its kind."""
+    """Write a model as a new version under ``path``, which readers see once it is whole.
+
+    The files of a version go to a folder of their own, and a manifest of one line, written last, names it. So a save that
+    dies leaves the version before it readable, and a model can be saved over the path it was loaded from.
+    Older versions stay until they are expired with the folder.
+    """
+    number = max((n for n, _ in _versions(spark, path)), default=0) + 1
+    name = f"{number:06d}-{uuid.uuid4().hex}"
+    _write(spark, model, f"{path}/versions/{name}")
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(f"{path}/manifests/{name}")
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Number and name of the versions that were written to the end, in order."""
+    try:
+        rows = spark.read.text(f"{path}/manifests/*").collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted((int(r["value"].split("-")[0]), r["value"]) for r in rows)
+
+
+def _write(spark: SparkSession, model: Model, path: str) -> None:
+    """The files of a model and a note of its kind, to a folder that is not there yet."""
     if isinstance(model, StackedModel):
         kind = "stacked"
         for part in ("bayes", "linear", "meta"):
-            save_model(spark, getattr(model, part), f"{path}/{part}")
+            _write(spark, getattr(model, part), f"{path}/{part}")
     elif isinstance(model, NaiveBayesModel):
         kind = "bayes"
-        model.weights.write.mode("overwrite").parquet(f"{path}/weights")
+        model.weights.write.parquet(f"{path}/weights")
         figures = (
             list(model.log_prior),
             model.vocabulary,
@@ -32,20 +59,25 @@ def save_model(spark: SparkSession, model: Model, path: str) -> None:
             model.token_total,
             model.fold_case,
         )
-        spark.createDataFrame([figures], _FIGURES).write.mode("overwrite").parquet(
-            f"{path}/figures"
-        )
+        spark.createDataFrame([figures], _FIGURES).write.parquet(f"{path}/figures")
     else:
         kind = "pipeline"
-        model.write().overwrite().save(f"{path}/pipeline")
-    spark.createDataFrame([(kind,)], "value string").write.mode("overwrite").text(f"{path}/kind")
+        model.write().save(f"{path}/pipeline")
+    spark.createDataFrame([(kind,)], "value string").write.text(f"{path}/kind")
 
 
 def load_model(spark: SparkSession, path: str) -> Model:
-    """The model saved under ``path``, whatever its kind."""
+    """The newest whole version of the model saved under ``path``, whatever its kind."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no model under {path}")
+    return _read(spark, f"{path}/versions/{versions[-1][1]}")
+
+
+def _read(spark: SparkSession, path: str) -> Model:
     kind = spark.read.text(f"{path}/kind").first()["value"]
     if kind == "stacked":
-        return StackedModel(*(load_model(spark, f"{path}/{part}") for part in ("bayes", "linear", "meta")))
+        return StackedModel(*(_read(spark, f"{path}/{part}") for part in ("bayes", "linear", "meta")))
     if kind == "pipeline":
         return PipelineModel.load(f"{path}/pipeline")
     figures = spark.read.schema(_FIGURES).parquet(f"{path}/figures").first()

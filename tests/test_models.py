@@ -246,3 +246,24 @@ def test_linear_model_takes_missing_texts(spark):
     model = linear.fit_lr(posts, "text", "y", features=1 << 8)
     scored = linear.score_lr(model, posts)
     assert (scored.count(), scored.filter("p1 is null").count()) == (12, 0)
+
+
+def test_a_loaded_model_is_saved_over_its_own_path(spark, posts, tmp_path):
+    path = f"{tmp_path}/own"
+    save_model(spark, bayes.fit_nb(posts, "text", "y"), path)
+    first = rows(bayes.score(load_model(spark, path), posts, "k", "text").select("k", "p1"))
+    for _ in range(2):
+        save_model(spark, load_model(spark, path), path)
+        assert rows(bayes.score(load_model(spark, path), posts, "k", "text").select("k", "p1")) == first
+
+
+def test_a_save_that_dies_leaves_the_old_model(spark, posts, tmp_path):
+    path = f"{tmp_path}/dies"
+    with pytest.raises(FileNotFoundError):
+        load_model(spark, path)
+    save_model(spark, bayes.fit_nb(posts, "text", "y"), path)
+    first = load_model(spark, path)
+    broken = posts.select(F.raise_error(F.lit("lost")).cast("string").alias("token"), F.lit(1).cast("long").alias("n"), F.array(F.lit(0.0)).alias("w"))
+    with pytest.raises(Exception, match="lost"):
+        save_model(spark, bayes.NaiveBayesModel(broken, first.log_prior, 1, 1, 1, True), path)
+    assert load_model(spark, path) == first or rows(load_model(spark, path).weights) == rows(first.weights)
