@@ -36,7 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -113,6 +113,7 @@ class Shingler:
         return np.unique(acc)
 
 
+@cache
 def size_class(n: int, rule: Rule) -> tuple[int, int, int]:
     """(number, first size, first size of the next) of the class that holds ``n``.
 
@@ -144,14 +145,16 @@ def prefix_keys(hashes: np.ndarray, rule: Rule, levels: list[np.ndarray]) -> np.
     n = len(hashes)
     if not rule.differ(n):
         return np.empty(0, np.uint64)
-    rank = np.zeros(n, np.int64)
+    at = (hashes >> np.uint64(64 - (len(levels[0]) * 8).bit_length() + 1)).astype(np.int64)
+    byte, bit = at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8)
+    rank = np.zeros(n, np.uint8)
     for mark in levels:
-        at = (hashes >> np.uint64(64 - (len(mark) * 8).bit_length() + 1)).astype(np.int64)
-        rank += (mark[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-    prefix = hashes[np.lexsort((hashes, rank))[: n - -(-n * rule.num // rule.den) + 1]]
+        rank += (mark[byte] & bit) != 0
+    # Hashes rise, so a stable order by rank goes by hash among equals.
+    prefix = hashes[np.argsort(rank, kind="stable")[: n - -(-n * rule.num // rule.den) + 1]]
     number, low, _ = size_class(n, rule)
     classes = [number, *([number - 1] if number and (low - 1) * rule.den >= n * rule.num else [])]
-    return np.unique(np.concatenate([_mix(prefix + np.uint64(c << 40)) for c in classes]))
+    return np.concatenate([_mix(prefix + np.uint64(c << 40)) for c in classes])
 
 
 def commonness(df: DataFrame, rule: Rule, total: int) -> list[np.ndarray]:
