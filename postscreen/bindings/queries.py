@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postscreen.functions import fill_text, remove_emoji, strip, tokens
-from postscreen.operators import bayes, epochs, errors, features, linear, metrics, ordinal, report, sampling, subwords
+from postscreen.operators import bayes, epochs, errors, features, folded, linear, metrics, ordinal, report, sampling, subwords
 from postscreen.operators.dedup import keep_first
 from postscreen.operators.union import union_sources
 from postscreen.plans import datasets, training
@@ -419,8 +419,8 @@ def error_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lr_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = linear.fit_lr(_train_side(spark, sf_dir), "text", LABEL)
-    return linear.score_lr(model, texts(spark, sf_dir)).select("doc_id", "p1", "pred")
+    model = folded.fit_linear(_train_side(spark, sf_dir), "text", LABEL)
+    return folded.score_linear(model, texts(spark, sf_dir), "text").select("doc_id", "p1", "pred")
 
 
 def meta_predict(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from postscreen.operators.bayes import NaiveBayesModel
+from postscreen.operators.folded import LinearModel
 from postscreen.operators.stacked import StackedModel
 
-Model = NaiveBayesModel | PipelineModel | StackedModel
+Model = NaiveBayesModel | LinearModel | PipelineModel | StackedModel
 
 _FIGURES = (
     "log_prior array<double>, vocabulary long, vocabulary_bytes long, token_total long, "
     "fold_case boolean"
 )
+_LINEAR = "weights array<double>, intercept double, fold_case boolean"
 
 
 def save_model(spark: SparkSession, model: Model, path: str) -> None:
@@ -60,6 +63,10 @@ def _write(spark: SparkSession, model: Model, path: str) -> None:
             model.fold_case,
         )
         spark.createDataFrame([figures], _FIGURES).write.parquet(f"{path}/figures")
+    elif isinstance(model, LinearModel):
+        kind = "linear"
+        figures = [(model.weights.tolist(), model.intercept, model.fold_case)]
+        spark.createDataFrame(figures, _LINEAR).coalesce(1).write.parquet(f"{path}/figures")
     else:
         kind = "pipeline"
         model.write().save(f"{path}/pipeline")
@@ -80,6 +87,9 @@ def _read(spark: SparkSession, path: str) -> Model:
         return StackedModel(*(_read(spark, f"{path}/{part}") for part in ("bayes", "linear", "meta")))
     if kind == "pipeline":
         return PipelineModel.load(f"{path}/pipeline")
+    if kind == "linear":
+        figures = spark.read.schema(_LINEAR).parquet(f"{path}/figures").first()
+        return LinearModel(np.array(figures["weights"]), figures["intercept"], figures["fold_case"])
     figures = spark.read.schema(_FIGURES).parquet(f"{path}/figures").first()
     weights = spark.read.schema("token string, n long, w array<double>").parquet(f"{path}/weights")
     return NaiveBayesModel(
