@@ -381,11 +381,16 @@ ORACLE: dict[str, str] = {
       FROM vals GROUP BY construction""",
     "csv_round_trip": f"""SELECT doc_id, lang,
         CASE WHEN text NOT IN ({_NA}) THEN md5(text) END AS digest FROM documents""",
+    "csv_by_ranges": f"""SELECT doc_id, lang,
+        CASE WHEN text NOT IN ({_NA}) THEN md5(text) END AS digest FROM documents""",
     "csv_by_name": f"""SELECT doc_id,
         CASE WHEN text NOT IN ({_NA}) THEN md5(text) END AS digest FROM documents""",
     "tolerant_scan": f"""SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN lang END AS lang,
         CASE WHEN doc_id % 5 <> 0 AND text NOT IN ({_NA}) THEN md5(text) END AS digest,
         (doc_id % 5 = 0)::INTEGER AS rejected FROM documents""",
+    "tolerant_by_ranges": f"""SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN lang END AS lang,
+        CASE WHEN doc_id % 5 <> 0 AND text NOT IN ({_NA}) THEN md5(text) END AS digest,
+        (doc_id % 5 = 0)::INTEGER AS rejected FROM documents""",
     "unlabelled_file": f"""SELECT 0 AS {LABEL}, count(*) AS rows, sum({_number("text")})::BIGINT AS text_sum
         FROM documents WHERE doc_id % 5 <> 0""",
     "parts_round_trip": _parts(),

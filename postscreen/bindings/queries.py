@@ -20,7 +20,7 @@ from postscreen.operators.dedup import keep_first
 from postscreen.operators.union import union_sources
 from postscreen.plans import datasets, training
 from postscreen.session import new_table_path, spread
-from postscreen.sources import models, posts
+from postscreen.sources import models, posts, ranges
 
 LABEL = datasets.LABEL
 # Text put into ``dirty``: white space only, and emoji of several make-ups.
@@ -562,6 +562,14 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "lang", F.md5("text").alias("digest"))
 
 
+def csv_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with line breaks in fields, read back in byte ranges."""
+    path = new_table_path(spark, "csv")
+    posts.write_posts(documents(spark, sf_dir).select("doc_id", "lang", "text"), path)
+    back = ranges.read_posts_by_ranges(spark, path, "doc_id long, lang string, text string")
+    return back.select("doc_id", "lang", F.md5("text").alias("digest"))
+
+
 def csv_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two columns of a file that has them in another order, among others."""
     path = new_table_path(spark, "csv")
@@ -591,9 +599,15 @@ def _dirty_csv(spark: SparkSession, sf_dir: str) -> str:
 
 def tolerant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with a field too many are told apart from good ones, whole texts and all."""
-    good, rejected = posts.read_tolerant(
-        spark, _dirty_csv(spark, sf_dir), "lang string, text string, doc_id long"
-    )
+    return _sides(*posts.read_tolerant(spark, _dirty_csv(spark, sf_dir), "lang string, text string, doc_id long"))
+
+
+def tolerant_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records, read in byte ranges."""
+    return _sides(*ranges.read_tolerant_by_ranges(spark, _dirty_csv(spark, sf_dir), "lang string, text string, doc_id long"))
+
+
+def _sides(good: DataFrame, rejected: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     bad_id = F.substring_index("record", ",", 1).cast("long")
     return good.select("doc_id", "lang", F.md5("text").alias("digest"), F.lit(0).alias("rejected")).unionByName(
@@ -701,7 +715,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "leaked": leaked,
     "csv_round_trip": csv_round_trip,
     "csv_by_name": csv_by_name,
+    "csv_by_ranges": csv_by_ranges,
     "tolerant_scan": tolerant_scan,
+    "tolerant_by_ranges": tolerant_by_ranges,
     "unlabelled_file": unlabelled_file,
     "parts_round_trip": parts_round_trip,
     "counts_round_trip": counts_round_trip,
