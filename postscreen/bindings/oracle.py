@@ -210,6 +210,7 @@ ORACLE: dict[str, str] = {
       bare AS (SELECT doc_id, {_no_emoji("text")} AS text FROM mixed)
       SELECT doc_id, length(text)::INTEGER AS length, md5(text) AS digest FROM bare""",
     "keep_first": f"SELECT doc_id, lang, source, n_chars FROM ({_first('documents')})",
+    "keep_first_incremental": f"SELECT doc_id, lang, source, n_chars FROM ({_first('documents')})",
     "keep_first_folded": f"""WITH folded AS (
         SELECT doc_id, lower(CASE doc_id % 2 WHEN 0 THEN 'NOTE ' ELSE 'note ' END || text) AS text
         FROM documents)

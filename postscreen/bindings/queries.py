@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from postscreen.functions import fill_text, remove_emoji, strip, tokens
 from postscreen.operators import bayes, epochs, errors, features, linear, metrics, ordinal, report, sampling, subwords
-from postscreen.operators.dedup import keep_first
+from postscreen.operators.dedup import first_index, keep_first, keep_first_incremental
 from postscreen.operators.union import union_sources
 from postscreen.plans import datasets, training
-from postscreen.session import new_table_path, spread
+from postscreen.session import materialise, new_table_path, spread
 from postscreen.sources import models, posts, ranges
 
 LABEL = datasets.LABEL
@@ -157,6 +157,17 @@ def first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_first(rows, ["text"], ["doc_id"]).select("doc_id", "lang", "source", "n_chars")
 
 
+def merged_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First of each text over two deliveries, the second merged by the digests of the first; either may hold the earlier row."""
+    rows = documents(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", "text")
+    early = F.col("source") < "src5"
+    kept = keep_first(rows.filter(early), ["text"], ["doc_id"])
+    index = materialise(first_index(kept, ["text"], ["doc_id"]), "index")
+    added, dropped = keep_first_incremental(rows.filter(~early | F.col("source").isNull()), index, ["text"], ["doc_id"])
+    left = kept.join(dropped.select(F.col("place.doc_id").alias("doc_id")), "doc_id", "left_anti")
+    return left.unionByName(added).select("doc_id", "lang", "source", "n_chars")
+
+
 def first_of_each_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without regard to case; every other text starts with a capitalised word."""
     prefix = F.when(F.col("doc_id") % 2 == 0, "NOTE ").otherwise("note ")
@@ -663,6 +674,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strip_blank": strip_blank,
     "remove_emoji": emoji_removed,
     "keep_first": first_of_each,
+    "keep_first_incremental": merged_by_index,
     "keep_first_folded": first_of_each_folded,
     "dedup_then_filter": dedup_then_filter,
     "head_rows": head_rows,

@@ -20,6 +20,8 @@ from postscreen.session import materialise
 
 # Hash prefix of four hexadecimal digits: at most 65,536 histogram cells per class.
 _PREFIX = 4
+# Digits of a hash, and rows of a class that one task ranks at most where keys are unique.
+_DIGITS, MAX_RANKED = 32, 100_000
 # Sixty bits of a hash, enough that a remainder of it is even over any class size.
 _INDEX_DIGITS = 15
 # Rows that one row is turned into at a time.
@@ -72,33 +74,44 @@ def _histogram(hashed: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _cutoffs(
-    hashed: DataFrame, by: Sequence[str], cells: DataFrame, quotas: DataFrame
+    hashed: DataFrame, by: Sequence[str], cells: DataFrame, quotas: DataFrame, most: int = MAX_RANKED
 ) -> DataFrame:
     """Per group the hash and key of its ``_quota``-th smallest row; no row for a quota of 0.
 
-    The histogram names the one cell per group in which the quota is reached, and only that cell,
-    a 65,536th of the group, is ranked.
+    The histogram names the one cell per group in which the quota is reached. A cell of more than ``most`` rows is counted
+    again by the next digits of the hash, as often as it takes, and only the rows of the last cell are ranked.
     """
+    digits, boundary = _PREFIX, _boundary(cells, by, quotas)
+    while digits < _DIGITS and (boundary.agg(F.max("_n")).first()[0] or 0) > most:
+        inside = _in_cells(hashed, by, boundary, digits)
+        digits += _PREFIX
+        finer = inside.groupBy(*by, F.substring("_h", 1, digits).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+        wanted = boundary.select(*by, F.col("_need").alias("_quota"))
+        boundary = materialise(_boundary(materialise(finer, "cells"), by, wanted), "boundary")
+    order = W.partitionBy(*by).orderBy("_h", "_k")
+    ranked = _in_cells(hashed, by, boundary, digits).withColumn("_r", F.row_number().over(order))
+    return ranked.filter(F.col("_r") == F.col("_need")).select(
+        *by, F.col("_h").alias("_cut_h"), F.col("_k").alias("_cut_k")
+    )
+
+
+def _boundary(cells: DataFrame, by: Sequence[str], quotas: DataFrame) -> DataFrame:
+    """Per group the cell in which ``_quota`` is reached, its rows as ``_n``, and how many of them are needed."""
     running = W.partitionBy(*by).orderBy("_cell")
-    boundary = (
+    return (
         cells.withColumn("_upto", F.sum("_n").over(running))
         .join(quotas, list(by))
         .filter((F.col("_quota") <= F.col("_upto")) & (F.col("_quota") > F.col("_upto") - F.col("_n")))
-        .select(*by, "_cell", (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_need"))
-    )
-    in_cell = join_small(
-        hashed.withColumn("_cell", F.substring("_h", 1, _PREFIX)),
-        boundary,
-        [*by, "_cell"],
-        spread="_k",
-        how="inner",
-    )
-    ranked = in_cell.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("_h", "_k")))
-    return ranked.filter(F.col("_r") == F.col("_need")).select(
-        *by, F.col("_h").alias("_cut_h"), F.col("_k").alias("_cut_k")
+        .select(*by, "_cell", "_n", (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_need"))
     )
 
 
+def _in_cells(hashed: DataFrame, by: Sequence[str], boundary: DataFrame, digits: int) -> DataFrame:
+    """The hashed rows of the cells in ``boundary``, which are prefixes of so many digits."""
+    placed = hashed.withColumn("_cell", F.substring("_h", 1, digits))
+    return join_small(placed, boundary.select(*by, "_cell", "_need"), [*by, "_cell"], spread="_k", how="inner")
+
+
 @dataclass(frozen=True)
 class Balanced:
     """A table with ``copies``: how often each row must occur for all classes to be of equal size.

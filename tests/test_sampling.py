@@ -120,3 +120,18 @@ def test_balancing_does_not_shuffle_the_table(spark):
     df = spark.range(100).select("id", (F.col("id") % 10 == 0).cast("int").alias("y"), F.lit("t").alias("text"))
     plan = oversample(df, "y", "id")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_cutoffs_by_more_digits_are_the_same(spark):
+    df = spark.range(3_000).select((F.col("id") % 3).alias("g"), F.md5(F.col("id").cast("string")).alias("h"), "id")
+    # Hashes that agree in their first digits, so that one cell holds everything, and some that agree in all.
+    alike = F.when(F.col("g") == 2, F.lit("0" * 32)).otherwise(F.concat(F.lit("0" * 6), F.substring("h", 7, 26)))
+    hashed = df.select(F.col("g").alias("_g"), alike.alias("_h"), F.col("id").alias("_k"))
+    cells = sampling._histogram(hashed, ["_g"])
+    quotas = spark.createDataFrame([(0, 17), (1, 1000), (2, 400)], "_g long, _quota long")
+    data = sorted((r["_g"], r["_h"], r["_k"]) for r in hashed.collect())
+    want = [[r for r in data if r[0] == g][q - 1] for g, q in ((0, 17), (1, 1000), (2, 400))]
+    for most in (2, 50, 10_000):
+        got = sampling._cutoffs(hashed, ["_g"], cells, quotas, most)
+        assert sorted(tuple(r) for r in got.collect()) == want
+    assert sampling._cutoffs(hashed.limit(0), ["_g"], cells.limit(0), quotas, 2).isEmpty()
