@@ -400,4 +400,6 @@ ORACLE: dict[str, str] = {
     "model_round_trip": f"""WITH {_TRAIN}, {_bayes("nb", "train", "documents")}
       SELECT doc_id, pred, round(p1, 6) AS p1 FROM nb_scores""",
 }
+ORACLE["file_ordinal"] = ORACLE["with_ordinal"]
+ORACLE["arriving_parts"] = ORACLE["parts_round_trip"]
 ORACLE["encode_joined"] = ORACLE["encode"]

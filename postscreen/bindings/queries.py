@@ -20,7 +20,7 @@ from postscreen.operators.dedup import first_index, keep_first, keep_first_incre
 from postscreen.operators.union import union_sources
 from postscreen.plans import datasets, training
 from postscreen.session import materialise, new_table_path, spread
-from postscreen.sources import models, posts, ranges
+from postscreen.sources import arriving, models, posts, ranges
 
 LABEL = datasets.LABEL
 # Text put into ``dirty``: white space only, and emoji of several make-ups.
@@ -207,6 +207,14 @@ def with_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digested(ordinal.with_ordinal(rows, ["n_chars", "doc_id"]))
 
 
+def file_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted ranges written as files, whose rows are then numbered where they stand."""
+    path = new_table_path(spark, "sorted")
+    rows = documents(spark, sf_dir).select("doc_id", "n_chars", "text")
+    rows.repartitionByRange(8, "n_chars", "doc_id").sortWithinPartitions("n_chars", "doc_id").write.parquet(path)
+    return _digested(ordinal.file_ordinal(spark, path))
+
+
 def number_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", "text")
     return (
@@ -641,6 +649,23 @@ def parts_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "parts")
     rows = documents(spark, sf_dir).select("doc_id", "lang", "text")
     posts.write_parts(rows, path, ["doc_id"], 500, "documents")
+    return _parts_written(spark, path)
+
+
+def arriving_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deliveries as CSV, a run of the stream after each, from one checkpoint."""
+    landing, path, log = (new_table_path(spark, x) for x in ("landing", "parts", "log"))
+    rows = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    ends = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    third = F.floor((F.col("doc_id") - ends["low"]) * 3 / (ends["high"] - ends["low"] + 1))
+    for delivery in range(3):
+        posts.write_posts(rows.filter(third == delivery), landing, "append")
+        stream = arriving.read_arriving(spark, landing, "doc_id long, lang string, text string", na_values=())
+        arriving.write_arriving_parts(stream, path, log, ["doc_id"], 500, "documents").awaitTermination()
+    return _parts_written(spark, path)
+
+
+def _parts_written(spark: SparkSession, path: str) -> DataFrame:
     kind = "doc_id long, lang string, text string, documents_part long"
     back = spark.read.schema(kind).csv(path, header=True, multiLine=True, quote='"', escape='"')
     return back.groupBy(F.col("documents_part").alias("part")).agg(
@@ -679,6 +704,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedup_then_filter": dedup_then_filter,
     "head_rows": head_rows,
     "with_ordinal": with_ordinal,
+    "file_ordinal": file_ordinal,
     "number_parts": number_parts,
     "profile": profile,
     "box_summary": box_summary,
@@ -732,6 +758,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tolerant_by_ranges": tolerant_by_ranges,
     "unlabelled_file": unlabelled_file,
     "parts_round_trip": parts_round_trip,
+    "arriving_parts": arriving_parts,
     "counts_round_trip": counts_round_trip,
     "model_round_trip": model_round_trip,
 }

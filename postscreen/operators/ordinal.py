@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postscreen.session import materialise
 
 MAX_RANGES = 50_000
+MAX_FILES = 1_000_000
 _LOCAL_BITS = 33
 
 
@@ -52,6 +53,51 @@ def with_ordinal(
     )
 
 
+def file_ordinal(
+    spark: SparkSession, path: str | list[str], name: str = "ord", max_files: int = MAX_FILES
+) -> DataFrame:
+    """The rows of Parquet files with their 0-based position: files by path, rows as they stand.
+
+    A scan tells the file of each row and its place there, so nothing is sorted and no row moves;
+    what is added is the number of rows in all earlier files. That table has 16 bytes and a row
+    for each file, is counted without reading a column, and is broadcast up to ``max_files``.
+    Beyond, or if two paths share a digest, rows are ordered by file and place, with the same
+    result. Files that Spark wrote from sorted ranges are in order of their paths.
+
+    Empty files and tables add nothing; nulls and repeated rows are numbered like all others. A
+    column called ``name`` raises, any other name may occur.
+    """
+    df = spark.read.parquet(*([path] if isinstance(path, str) else path))
+    if name in df.columns:
+        raise ValueError(f"the files have a column {name}")
+    file, place, start = (_free(df, c) for c in ("_file", "_place", "_start"))
+    source = df.metadataColumn("_metadata")
+    sizes = df.groupBy(source["file_path"].alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each file: few enough for a task, as the scan's own list of files is for the driver.
+    starts = materialise(
+        sizes.select(
+            F.xxhash64("path").alias(file), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(start)
+        ),
+        "files",
+    )
+    found = starts.agg(F.count(F.lit(1)).alias("files"), F.count_distinct(file).alias("digests")).first()
+    if found["files"] > max_files or found["digests"] < found["files"]:
+        placed = df.withColumns({file: source["file_path"], place: source["row_index"]})
+        return with_ordinal(placed, [file, place], name).drop(file, place)
+    placed = df.withColumns({file: F.xxhash64(source["file_path"]), place: source["row_index"]})
+    joined = placed.join(F.broadcast(starts), file)
+    return joined.withColumn(name, F.col(start) + F.col(place)).drop(file, place, start)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def number_parts(
     df: DataFrame, order_by: Sequence[str], n: int = 500, ordinal: str | None = None
 ) -> DataFrame:

@@ -162,13 +162,18 @@ def write_parts(
     """
     column = f"{name}_part"
     parts = number_parts(df, order_by, n, ordinal="_ord").withColumnRenamed("part", column)
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    save_parts(parts, path, column, "_ord", mode)
+
+
+def save_parts(parts: DataFrame, path: str, part: str, ordinal: str, mode: str, **options: str) -> None:
+    """Numbered rows as one CSV file for each value of ``part``, in the order of ``ordinal``, which is dropped."""
+    ranges = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        parts.repartitionByRange(ranges, column)
-        .sortWithinPartitions(column, "_ord")
-        .drop("_ord")
+        parts.repartitionByRange(ranges, part)
+        .sortWithinPartitions(part, ordinal)
+        .drop(ordinal)
         .write.mode(mode)
-        .partitionBy(column)
-        .options(**_WRITE)
+        .partitionBy(part)
+        .options(**_WRITE, **options)
         .csv(path)
     )
