@@ -57,7 +57,7 @@ def write_arriving_parts(
     replaces them. An empty batch changes nothing. ``name`` must be the same in all runs.
     """
     part = f"{name}_part"
-    for clash in (part, "_new", "_ord"):
+    for clash in (part, "_new", "_key", "_ord"):
         if clash in stream.columns:
             raise ValueError(f"the posts have a column {clash}")
 
@@ -68,11 +68,11 @@ def write_arriving_parts(
             total, rest = _kept(spark, checkpoint, number - 1, batch.schema)
             rows = rest.withColumn("_new", F.lit(0)).unionByName(rows)
         full = total - total % n
-        numbered = with_ordinal(rows, ["_new", *order_by], "_ord").drop("_new")
-        parts = numbered.withColumn("_ord", F.col("_ord") + F.lit(full)).withColumn(
+        numbered = _numbered(rows, ["_new", *order_by])
+        parts = numbered.drop("_new").withColumn("_ord", F.col("_ord") + F.lit(full)).withColumn(
             part, F.expr(f"cast(_ord div {int(n)} as long) + 1")
         )
-        total = full + numbered.count()
+        total = full + rows.count()
         if total > full:
             save_parts(parts, path, part, "_ord", "overwrite", partitionOverwriteMode="dynamic")
         rest = parts.filter(F.col("_ord") >= total - total % n).drop("_ord", part)
@@ -86,6 +86,20 @@ def write_arriving_parts(
     )
 
 
+def _numbered(rows: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Rows with ``_ord``, their position in the order.
+
+    Only the order's columns are sorted and written; the files of the batch are read again to meet
+    them. Where keys repeat after all, whole rows are numbered, so that none is lost or doubled.
+    """
+    keys = with_ordinal(rows.select(*[F.col(f"`{c}`") for c in order_by]), order_by, "_ord")
+    key = F.struct(*[F.col(f"`{c}`") for c in order_by])
+    keys = keys.select(key.alias("_key"), "_ord")
+    if not keys.groupBy("_key").count().filter("count > 1").isEmpty():
+        return with_ordinal(rows, order_by, "_ord")
+    return rows.withColumn("_key", key).join(keys, "_key").drop("_key")
+
+
 def _keep(rest: DataFrame, checkpoint: str, number: int, total: int) -> None:
     """The rows of the open part (fewer than a part holds) and the number of rows up to this batch."""
     rest.write.mode("overwrite").parquet(f"{checkpoint}/parts/{number}/rest")

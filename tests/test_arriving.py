@@ -76,6 +76,16 @@ def test_a_run_that_dies_is_made_good(spark, tmp_path, monkeypatch, dies_in, aft
     assert parts(spark, f"{tmp_path}/out") == expected(spark, tmp_path, "want")
 
 
+def test_keys_that_are_missing_or_repeat_lose_no_row(spark, tmp_path):
+    for i, keys in enumerate([[None, 1, 2], [3, 3, 3, None, None]]):
+        df = spark.createDataFrame([(k, f"{i} {j}") for j, k in enumerate(keys)], SCHEMA)
+        write_posts(df.coalesce(1), f"{tmp_path}/in", "append")
+        run(spark, tmp_path, 2)
+    got = parts(spark, f"{tmp_path}/out")
+    assert sorted(p for p, _, _ in got) == [1, 1, 2, 2, 3, 3, 4, 4]
+    assert sorted(t for _, _, t in got) == ["0 0", "0 1", "0 2", "1 0", "1 1", "1 2", "1 3", "1 4"]
+
+
 def test_nothing_arrives(spark, tmp_path):
     os.mkdir(tmp_path / "in")
     run(spark, tmp_path)
