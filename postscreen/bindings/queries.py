@@ -211,7 +211,7 @@ def file_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted ranges written as files, whose rows are then numbered where they stand."""
     path = new_table_path(spark, "sorted")
     rows = documents(spark, sf_dir).select("doc_id", "n_chars", "text")
-    rows.repartitionByRange(8, "n_chars", "doc_id").sortWithinPartitions("n_chars", "doc_id").write.parquet(path)
+    rows.repartitionByRange("n_chars", "doc_id").sortWithinPartitions("n_chars", "doc_id").write.parquet(path)
     return _digested(ordinal.file_ordinal(spark, path))
 
 
