@@ -1,9 +1,10 @@
 """A linear classifier trained by epochs: mini-batches in a seeded order, AdamW steps, a checkpoint after each epoch.
 
 Texts become hashed token ids once, written to the shared folder. An epoch's batches are consecutive rows of its seeded
-order, written by batch, so that a step reads its own rows only. The rows of a step give their share of the
-gradient where they are, Spark adds the shares up, and the driver, which holds nothing but vectors of ``features``
-numbers, takes the step. A batch may be as large as the cluster makes worth while.
+order, dealt to partitions by batch, written there once more and kept by the executors for the epoch, so that a step is one job of a single stage
+over its own partitions. The rows of a step give their share of the gradient where they are, and the driver, which holds
+nothing but vectors of ``features`` numbers, adds the shares up and takes the step. A batch may be as large as the cluster
+makes worth while: many tasks share a large one.
 """
 
 from __future__ import annotations
@@ -13,16 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postscreen.functions.text import tokens
 from postscreen.operators.sampling import shuffled_batches
-from postscreen.session import materialise, new_table_path
+from postscreen.session import materialise, shared_folder
 
 # The usual rates of decay of the two moments, and what keeps the divisor from 0.
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
+# Rows of a batch in one partition, about.
+BLOCK_ROWS = 4096
 _STATE = "epoch int, step long, loss double, weights array<double>, first array<double>, second array<double>"
 
 
@@ -56,40 +60,57 @@ def hashed(df: DataFrame, text: str, settings: Settings, *keep: str) -> DataFram
     return df.select(*keep, ids.alias("ids"))
 
 
-def _logits(ids: pa.ListArray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Flat ids, their rows, their values (a row's tokens share 1), and the logit of each row."""
-    sizes = np.diff(ids.offsets.to_numpy())
-    flat = ids.flatten().to_numpy().astype(np.int64)
+def _logits(flat: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of flat ids, their values (a row's tokens share 1), and the logit of each row."""
     rows = np.repeat(np.arange(len(sizes)), sizes)
     values = 1.0 / np.maximum(sizes, 1)[rows]
-    return flat, rows, values, np.bincount(rows, weights[flat] * values, minlength=len(sizes)) + weights[-1]
+    return rows, values, np.bincount(rows, weights[flat] * values, minlength=len(sizes)) + weights[-1]
 
 
-def gradient(batch: DataFrame, label: str, weight: str, weights: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """Sum over the rows of the gradient of the log loss, of the loss, and of the rows' weights."""
+def _flat(ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())
+
+
+def _blocks(mixed: DataFrame, key: str, label: str, weight: str, steps: int, per: int) -> RDD:
+    """The rows of batch ``k`` as partitions from ``k * per`` on, ``per`` of them, each packed into arrays."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, sizes = _flat(batch.column("ids"))
+            y, w = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("y", "w"))
+            arrays = {"ids": flat.astype(np.int32), "sizes": sizes.astype(np.int32), "y": y, "w": w}
+            yield pa.RecordBatch.from_pydict({name: pa.array([x.tobytes()], pa.binary()) for name, x in arrays.items()})
+
+    block = F.col("batch") * per + F.pmod(F.xxhash64(key), F.lit(per))
+    rows = mixed.select(
+        block.cast("int").alias("block"),
+        "ids",
+        F.col(label).cast("double").alias("y"),
+        F.col(weight).cast("double").alias("w"),
+    )
+    dealt = rows.repartitionById(steps * per, F.col("block")).drop("block")
+    return dealt.mapInArrow(pack, "ids binary, sizes binary, y binary, w binary").rdd
+
+
+def gradient(blocks: RDD, at: range, weights: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Sum over the rows of the partitions ``at`` of the gradient of the log loss, of the loss, and of the rows' weights."""
     n = len(weights)
-    shared = batch.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, loss, total = np.zeros(n), 0.0, 0.0
-        for part in batches:
-            y, w = (part.column(c).to_numpy().astype(np.float64) for c in ("y", "w"))
-            flat, rows, values, z = _logits(part.column("ids"), shared.value)
+    def share(packed: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, float, float]]:
+        for part in packed:
+            flat, sizes = np.frombuffer(part["ids"], np.int32), np.frombuffer(part["sizes"], np.int32)
+            y, w = np.frombuffer(part["y"]), np.frombuffer(part["w"])
+            rows, values, z = _logits(flat, sizes, weights)
             off = w * (1 / (1 + np.exp(-z)) - y)
-            own[:-1] += np.bincount(flat, off[rows] * values, minlength=n - 1)
-            own[-1] += off.sum()
-            loss += float((w * (np.logaddexp(0, z) - y * z)).sum())
-            total += float(w.sum())
-        if total:
-            at = np.flatnonzero(own)
-            names = np.concatenate([at, [n, n + 1]])  # the loss and the weights go behind the gradient
-            yield pa.RecordBatch.from_pydict({"i": names, "g": np.concatenate([own[at], [loss, total]])})
-
-    rows = batch.select("ids", F.col(label).cast("double").alias("y"), F.col(weight).cast("double").alias("w"))
-    sums = rows.mapInArrow(run, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toArrow()
-    out = np.zeros(n + 2)
-    out[sums.column("i").to_numpy()] = sums.column("g").to_numpy()
-    return out[:n], float(out[n]), float(out[n + 1])
+            own = np.append(np.bincount(flat, off[rows] * values, minlength=n - 1), off.sum())
+            held = np.flatnonzero(own)
+            yield held, own[held], float((w * (np.logaddexp(0, z) - y * z)).sum()), float(w.sum())
+
+    slope, loss, total = np.zeros(n), 0.0, 0.0
+    for held, own, lost, times in blocks.context.runJob(blocks, share, list(at)):
+        slope[held] += own
+        loss, total = loss + lost, total + times
+    return slope, loss, total
 
 
 def adamw(state: Epoch, slope: np.ndarray, settings: Settings) -> Epoch:
@@ -137,17 +158,23 @@ def fit_epochs(
     if len(done) == settings.epochs:
         return done
     rows = train.withColumn("_w", F.col(weight) if weight else F.lit(1)).filter(F.col(key).isNotNull() & F.col(label).isin(0, 1))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     narrow = materialise(hashed(rows, text, settings, key, label, "_w"), "hashed")
-    steps = -(-narrow.count() // settings.batch_size)
+    steps, per = -(-narrow.count() // settings.batch_size), -(-settings.batch_size // BLOCK_ROWS)
     for epoch in range(state.epoch + 1, settings.epochs):
-        place = new_table_path(spark, "batches")
-        shuffled_batches(narrow, key, settings.batch_size, settings.seed, epoch).write.partitionBy("batch").parquet(place)
         losses = []
-        for k in range(steps):
-            batch = spark.read.schema(narrow.schema).parquet(f"{place}/batch={k}")
-            slope, loss, total = gradient(batch, label, "_w", state.weights)
-            state = adamw(state, slope / max(total, 1.0), settings)
-            losses.append(loss / max(total, 1.0))
+        if steps:
+            mixed = shuffled_batches(narrow, key, settings.batch_size, settings.seed, epoch)
+            blocks = _blocks(mixed, key, label, "_w", steps, per).persist(StorageLevel.MEMORY_AND_DISK)
+            # All batches are packed at once, not each by its own step, and a step's job doesn't carry how they were made.
+            blocks.checkpoint()
+            blocks.count()
+            for k in range(steps):
+                slope, loss, total = gradient(blocks, range(k * per, (k + 1) * per), state.weights)
+                state = adamw(state, slope / max(total, 1.0), settings)
+                losses.append(loss / max(total, 1.0))
+            blocks.unpersist()
         mean = float(np.mean(losses)) if losses else 0.0
         state = Epoch(epoch, state.step, mean, state.weights, state.first, state.second)
         _save(spark, path, state)
@@ -161,7 +188,7 @@ def score_epochs(done: list[Epoch], df: DataFrame, text: str, settings: Settings
 
     @F.arrow_udf("array<double>")
     def chances(ids: pa.Array) -> pa.Array:
-        found = [1 / (1 + np.exp(-_logits(ids, w)[3])) for _, w in shared.value]
+        found = [1 / (1 + np.exp(-_logits(*_flat(ids), w)[2])) for _, w in shared.value]
         flat = np.stack(found, axis=1).ravel() if found else np.empty(0)
         offsets = np.arange(len(ids) + 1, dtype=np.int32) * len(found)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))

@@ -1,8 +1,10 @@
 """What grows with a table stays off the driver, out of single tasks and out of single steps."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from postscreen.operators import bayes
+from postscreen.operators import bayes, epochs
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +33,31 @@ def test_rare_tokens_meet_their_weights_without_a_broadcast(spark, words, fold):
 
 def test_what_is_collected_of_a_vocabulary_is_small():
     assert bayes.MAX_HOT_BYTES <= 16 << 20 and bayes.MAX_HOT_TOKENS <= 200_000
+
+
+def test_a_step_is_one_stage_over_its_own_rows(spark, words, tmp_path, monkeypatch):
+    settings = epochs.Settings(epochs=2, batch_size=30, features=64)
+    rows = words.withColumn("k", F.monotonically_increasing_id()).cache()
+    steps = -(-rows.count() // 30)
+    log = []
+    plain = epochs.gradient
+
+    def watched(blocks, at, weights):
+        group = f"step-{len(log)}"
+        spark.sparkContext.setJobGroup(group, group)
+        out = plain(blocks, at, weights)
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getJobInfo(j).stageIds for j in tracker.getJobIdsForGroup(group)]
+        ran = [t for s in stages for i in s if (t := tracker.getStageInfo(i)) and t.numCompletedTasks]
+        log.append((len(ran), sum(t.numTasks for t in ran)))
+        return out
+
+    monkeypatch.setattr(epochs, "gradient", watched)
+    try:
+        done = epochs.fit_epochs(rows, "k", "text", "y", f"{tmp_path}/one", settings)
+        monkeypatch.setattr(epochs, "BLOCK_ROWS", 8)
+        split = epochs.fit_epochs(rows, "k", "text", "y", f"{tmp_path}/many", settings)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert log[: 2 * steps] == [(1, 1)] * (2 * steps) and log[2 * steps :] == [(1, 4)] * (2 * steps)
+    assert all(np.allclose(a.weights, b.weights, atol=1e-9) and abs(a.loss - b.loss) < 1e-9 for a, b in zip(done, split, strict=True))
