@@ -1,10 +1,16 @@
 """What grows with a table stays off the driver, out of single tasks and out of single steps."""
 
+import json
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from postscreen.operators import bayes, epochs
+from postscreen.bindings.queries import _subword_file
+from postscreen.operators import bayes, epochs, subwords
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +67,59 @@ def test_a_step_is_one_stage_over_its_own_rows(spark, words, tmp_path, monkeypat
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert log[: 2 * steps] == [(1, 1)] * (2 * steps) and log[2 * steps :] == [(1, 4)] * (2 * steps)
     assert all(np.allclose(a.weights, b.weights, atol=1e-9) and abs(a.loss - b.loss) < 1e-9 for a, b in zip(done, split, strict=True))
+
+
+ODD = [
+    "a b ́x é 'S it's don 't", "<|endoftext|>x <|startoftext|> <|ENDOFTEXT|>", "\u0085q 　w\x1cz", "ΣΑΣ İI",
+    "", " \t\n\r ", None, "x" * 5_000, "  " * 3_000 + "late", "1 2 3\r\n4\t5 " * 400, "word​ " * 300, "\U0001f600 " * 200, "日本語 " * 400,
+]
+
+
+def saved(folder, change):
+    with open(_subword_file(), encoding="utf-8") as f:
+        parts = json.load(f)
+    change(parts)
+    path = folder / "changed.json"
+    path.write_text(json.dumps(parts), encoding="utf-8")
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", ["given", "blanks_kept", "added"])
+def test_subwords_of_odd_texts_by_words_and_by_heads(spark, tmp_path, kind):
+    path = _subword_file()
+    if kind == "blanks_kept":
+        path = saved(tmp_path, lambda t: t.update(pre_tokenizer={"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": False}))
+    if kind == "added":
+        path = saved(tmp_path, lambda t: t["added_tokens"].append({**t["added_tokens"][0], "id": 49408, "content": "3 4"}))
+    plain = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        assert subwords.splits_at_blanks(f.read()) == (kind == "given")
+    ids = [plain.encode(t or "", add_special_tokens=False).ids for t in ODD]
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").repartition(3)
+    counts = subwords.subword_counts(df, "text", path)
+    assert {r["id"]: r["n"] for r in counts.collect()} == Counter(x for found in ids for x in found)
+    for most in (2, 20, 128):
+        got = {r["doc_id"]: r for r in subwords.encode_subwords(df, "text", path, -1, -2, max_length=most).collect()}
+        for i, found in enumerate(ids):
+            want = [-1, *found[: most - 2], -2]
+            assert got[i]["input_ids"] == want + [0] * (most - len(want)) and sum(got[i]["attention_mask"]) == len(want)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert ("keys=[text" in plan) == (kind == "given")
+
+
+def test_texts_are_tokenized_in_pieces_of_few_characters():
+    texts = ["a" * 300_000] * 9 + [None, "b" * 3_000_000, ""] + ["c"] * 2_500
+    pieces = list(subwords._pieces(pa.array(texts)))
+    assert [t for p in pieces for t in p] == texts
+    assert all(len(p) <= 1_000 and (len(p) == 1 or sum(len(t or "") for t in p) <= 1 << 20) for p in pieces)
+
+
+def test_padded_batches_leave_a_task_in_few_arrow_batches(spark):
+    data = [(i, [7] * (i % 9 + 1) + [0] * (9 - i % 9), [1] * (i % 9 + 1) + [0] * (9 - i % 9)) for i in range(100)]
+    df = spark.createDataFrame(data, "k long, input_ids array<int>, attention_mask array<int>").coalesce(1)
+    rows = subwords.pad_batches(df, "k", batch_size=8, pad=5, gather=50).collect()
+    assert sorted(r["k"] for r in rows) == list(range(100))
+    assert all(r["input_ids"] == [7] * (r["k"] % 9 + 1) + [5] * (len(r["input_ids"]) - r["k"] % 9 - 1) for r in rows)
+    sizes = Counter(r["batch"] for r in rows)
+    assert sorted(sizes.values()) == [2, 2] + [8] * 12 and {(r["batch"], r["place"]) for r in rows} == {(b, i) for b, n in sizes.items() for i in range(n)}
+    assert all(len({len(r["input_ids"]) for r in rows if r["batch"] == b}) == 1 for b in sizes)
