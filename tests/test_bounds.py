@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from postscreen.bindings.queries import _subword_file
-from postscreen.operators import bayes, epochs, subwords
+from postscreen.operators import bayes, epochs, folded, subwords
 
 
 @pytest.fixture(scope="module")
@@ -123,3 +123,21 @@ def test_padded_batches_leave_a_task_in_few_arrow_batches(spark):
     sizes = Counter(r["batch"] for r in rows)
     assert sorted(sizes.values()) == [2, 2] + [8] * 12 and {(r["batch"], r["place"]) for r in rows} == {(b, i) for b, n in sizes.items() for i in range(n)}
     assert all(len({len(r["input_ids"]) for r in rows if r["batch"] == b}) == 1 for b in sizes)
+
+
+def test_pairs_and_sums_of_the_descent_are_not_held_whole(spark, words, monkeypatch, tmp_path):
+    rows = folded.hashed_counts(words, "text", 64, True, y=F.col("y").cast("double"), w=F.lit(1.0), fold=F.col("k") % 3)
+    rows = rows.filter("fold is not null").cache()
+    whole = folded._fit(rows, 3, 64, True, 1e-3, 20, 1e-9)
+    monkeypatch.setattr(folded, "PIECE", 7)
+    pieces = folded._fit(rows, 3, 64, True, 1e-3, 20, 1e-9)
+    assert all(np.allclose(a.weights, b.weights) and abs(a.intercept - b.intercept) < 1e-9 for a, b in zip(whole, pieces, strict=True))
+    # A bent valley of its own: the descent finds its floor, with no vector of a pair in the object.
+    scale = np.arange(1.0, 41.0)
+    descent = folded._Descent(np.ones(40), 200, 1e-15, str(tmp_path))
+    while not descent.done:
+        x = descent.trial
+        descent.seen(float(scale @ (x * x)) / 2, scale * x)
+    assert np.abs(descent.x).max() < 1e-3 and len(descent.pairs.known) == folded.HISTORY
+    assert not any(isinstance(v, np.ndarray) for v in vars(descent.pairs).values())
+    assert len(list(tmp_path.iterdir())) == 2 * folded.HISTORY
