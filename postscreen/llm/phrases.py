@@ -14,6 +14,9 @@ round extends an interval only if both of its parts are marked. The bitmap has a
 the corpus; a bit set by chance only lets a phrase through to the last round, in which the phrases themselves are
 counted exactly, by name.
 
+A task holds one shard's arrays at a time, of 32 bits but for hashes. A shard is a row group of its own in the file of the indexes, and a bitmap is a
+file sent with the job, mapped by the tasks of an executor and copied by none.
+
 Scores are made with DataFrame joins of phrases with their parts, in decimals of 38 digits.
 
 Defined results: a null text is empty; a null language is ``und``; empty texts count no words; repeated rows count as often
@@ -23,14 +26,17 @@ text longer than a shard is a shard of its own. Other columns take no part, what
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import TaskContext
+from pyspark import SparkContext, SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +48,9 @@ SHARD, DEPTH = 1_500_000, 4
 LEAST, SCALE, INSIDE, TOP = 30, 2_000_000, 80, 2000
 # Hashes that a bucket gathers, and bits of a bitmap: at most 2^28, or 32 MiB.
 BUCKET, MAX_BITS, MAX_BUCKETS = 2_000_000, 28, 1 << 20
-# Phrases that a task adds up before it sends them.
-GATHER = 1_000_000
+# Phrases that a task gathers before it sends them, added up in so many parts; those that are Python's at a time, and hashes
+# looked up at a time.
+GATHER, PARTS, NAMES, LOOKUP = 500_000, 8, 1 << 16, 1 << 18
 UNKNOWN = "und"
 
 # Signs that end a piece become a line end, a tab becomes a blank.
@@ -75,36 +82,39 @@ class Index:
     def __init__(self, symbols: np.ndarray, hashes: np.ndarray) -> None:
         # Row j's suffix is one word longer than that of row next[j].
         self.before = symbols
-        self.next = np.argsort(symbols, kind="stable")
+        self.next = np.argsort(symbols, kind="stable").astype(np.int32)
         self.first = symbols[self.next]
         self.hashes = hashes
-        change = np.ones(len(symbols), bool)
-        change[1:] = self.first[1:] != self.first[:-1]
-        self.intervals = np.cumsum(change) - 1
-        self.valid = self.first != 0
         self.depth = 1
-        self._describe(change, hashes[self.first[np.flatnonzero(change)]])
-
-    def _describe(self, change: np.ndarray, hashes: np.ndarray) -> None:
-        self.low = np.flatnonzero(change)
-        self.count = np.diff(np.append(self.low, len(self.first)))
-        self.hash = hashes
-        self.whole = self.valid[self.low]
+        low = self._cut(self.first)
+        self.hash = hashes[self.first[low]]
+        self.whole = self.first[low] != 0
+
+    def _cut(self, *ranks: np.ndarray) -> np.ndarray:
+        """Intervals of the rows that are alike in all ``ranks``; their first rows."""
+        change = np.ones(len(self.first), bool)
+        change[1:] = False
+        for x in ranks:
+            change[1:] |= x[1:] != x[:-1]
+        self.intervals = np.cumsum(change, dtype=np.int32)
+        self.intervals -= 1
+        self.low = np.flatnonzero(change).astype(np.int32)
+        self.count = np.diff(self.low, append=np.int32(len(self.first)))
+        return self.low
 
     def extend(self, marked: np.ndarray) -> None:
         """One word to the left of every interval; ``marked`` tells which intervals may be part of a longer one."""
-        to = self.intervals[self.next]
-        change = np.ones(len(to), bool)
-        change[1:] = (self.first[1:] != self.first[:-1]) | (to[1:] != to[:-1])
-        low = np.flatnonzero(change)
-        # Its words but the last are the old interval of the row itself, those but the first that of its next row.
-        parts = marked[self.intervals[low]] & marked[to[low]]
-        hashes = _mix(self.hashes[self.first[low]] + _mix(self.hash[to[low]] + np.uint64(self.depth)))
-        intervals = np.cumsum(change) - 1
-        self.valid = (parts & self.whole[to[low]] & (self.first[low] != 0))[intervals]
-        self.intervals = intervals
+        old, to = self.intervals, self.intervals[self.next]
+        low = self._cut(self.first, to)
+        tails, words = to[low], self.first[low]
+        whole = marked[old[low]] & marked[tails] & self.whole[tails] & (words != 0)
+        del old, to
+        hashes = self.hash[tails]
+        hashes += np.uint64(self.depth)
+        hashes = _mix(hashes)
+        hashes += self.hashes[words]
+        self.hash, self.whole = _mix(hashes), whole
         self.depth += 1
-        self._describe(change, hashes)
 
     def words(self, rows: np.ndarray) -> np.ndarray:
         """The symbols of the phrases at the rows, one column for each of their words."""
@@ -116,13 +126,13 @@ class Index:
 
     def extensions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(interval, symbol, count, side) of each one-word extension; side 0 is left (BWT), 1 right (next words)."""
-        inside = np.flatnonzero(self.valid)
+        inside = np.flatnonzero(self.whole[self.intervals])
         last = inside
         for _ in range(self.depth):
             last = self.next[last]
         out = []
         for side, symbol in enumerate((self.before[inside], self.first[last])):
-            key = self.intervals[inside] * (int(self.first.max()) + 1) + symbol
+            key = self.intervals[inside].astype(np.int64) * (int(self.first.max()) + 1) + symbol
             distinct, n = np.unique(key[symbol != 0], return_counts=True)
             who, what = np.divmod(distinct, int(self.first.max()) + 1)
             out.append((who, what, n, np.full(len(who), side)))
@@ -130,9 +140,13 @@ class Index:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+    """``x`` itself, mixed in its place."""
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x7FB5D329728EA185)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x81DADEF4BC2DD44D)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 # --- shards --------------------------------------------------------------------------------------
@@ -199,60 +213,92 @@ def build(df: DataFrame, text: str, lang: str, shard: int = SHARD) -> DataFrame:
     return rows.mapInArrow(run, INDEX)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The shards one after another; their long columns are not copied."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i] for c in batch.schema.names}
+            yield {c: x.as_buffer() if isinstance(x, pa.BinaryScalar) else x.as_py() for c, x in row.items()}
+
+
 def _load(row: dict) -> tuple[Index, list[bytes], np.ndarray]:
     """A shard's index, its words and the place of each word's language."""
-    names, of = row["words"].split(b"\n"), np.frombuffer(row["of"], np.int32)
+    names, of = row["words"].to_pybytes().split(b"\n"), np.frombuffer(row["of"], np.int32)
     # The hash of a word goes with its language.
     seeds = [xxhash.xxh3_64_intdigest(x.encode()) for x in row["langs"]]
-    hashes = np.array([0, *(xxhash.xxh3_64_intdigest(w, seeds[k]) for w, k in zip(names[1:], of[1:], strict=True))], np.uint64)
+    hashes = np.zeros(len(names), np.uint64)
+    hashes[1:] = np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[k]) for w, k in zip(names[1:], of[1:], strict=True)), np.uint64, len(names) - 1)
     return Index(np.frombuffer(row["bwt"], np.int32), hashes), names, of
 
 
+def _send_mark(context: SparkContext, mark: np.ndarray) -> str:
+    """The name of a bitmap that is sent with the jobs from now on, to each executor once."""
+    with tempfile.NamedTemporaryFile(dir=os.path.realpath(context._temp_dir), delete=False) as f:
+        mark.tofile(f)
+    context.addFile(f.name)
+    return os.path.basename(f.name)
+
+
+def _marks(names: list[str]) -> list[np.ndarray]:
+    return [np.memmap(SparkFiles.get(x), np.uint8, "r") for x in names]
+
+
+def _seen(mark: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes are marked."""
+    out = np.empty(len(hashes), bool)
+    for i in range(0, len(hashes), LOOKUP):
+        at = hashes[i : i + LOOKUP] >> np.uint64(64 - bits)
+        out[i : i + LOOKUP] = (mark[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1
+    return out
+
+
 def _deepen(index: Index, marks: list[np.ndarray], bits: int) -> None:
     """Extend by one word for each bitmap, as far as the bitmaps allow."""
     for mark in marks:
-        at = (index.hash >> np.uint64(64 - bits)).astype(np.int64)
-        seen = (mark[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-        index.extend(index.whole & (seen == 1))
+        index.extend(index.whole & _seen(mark, index.hash, bits))
 
 
 # --- rounds --------------------------------------------------------------------------------------
 
 
 def frequent_hashes(
-    indexes: DataFrame, marks: list[np.ndarray], bits: int, buckets: int, width: int, least: int
+    indexes: DataFrame, marks: list[str], bits: int, buckets: int, width: int, least: int
 ) -> np.ndarray:
-    """The bitmap of the phrases one word longer than there are ``marks`` that occur ``least`` times in all.
+    """The bitmap of the phrases one word longer than there are ``marks`` (files sent) that occur ``least`` times in all.
 
     Sent are the first ``width`` bits of the hashes, enough that few meet by chance, and counts up to ``least``.
     """
-    spark = indexes.sparkSession
-    shared = spark.sparkContext.broadcast(marks)
     schema = pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
     kind = np.min_scalar_type(least)
     inner = width - buckets  # bits of a hash within its bucket
 
+    def found(row: dict, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The first bits of a shard's hashes, rising, with their counts."""
+        index = _load(row)[0]
+        _deepen(index, held, bits)
+        whole = np.flatnonzero(index.whole)
+        hashes = index.hash[whole]
+        counts = np.minimum(index.count[whole], least).astype(kind)
+        del index, whole
+        hashes >>= np.uint64(64 - width)
+        order = np.argsort(hashes)
+        return hashes[order], counts[order]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                index = _load(row)[0]
-                _deepen(index, shared.value, bits)
-                whole = np.flatnonzero(index.whole)
-                hashes = index.hash[whole] >> np.uint64(64 - width)
-                order = np.argsort(hashes)
-                hashes = hashes[order]
-                counts = np.minimum(index.count[whole[order]], least).astype(kind)
-                # Buckets are ranges of hashes; their number is a power of two.
-                bucket = (hashes >> np.uint64(inner)).astype(np.int64)
-                hashes = hashes & np.uint64((1 << inner) - 1)
-                starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-                for s in range(0, len(starts), 512):
-                    bounds = [*starts[s : s + 512], starts[s + 512] if s + 512 < len(starts) else len(hashes)]
-                    rows = [
-                        {"bucket": int(bucket[i]), "hashes": squeeze(hashes[i:j]), "counts": counts[i:j].tobytes()}
-                        for i, j in zip(bounds, bounds[1:], strict=False)
-                    ]
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        held = _marks(marks)
+        for row in _rows(batches):
+            hashes, counts = found(row, held)
+            # Buckets are ranges of hashes; their number is a power of two.
+            bucket = (hashes >> np.uint64(inner)).astype(np.int64)
+            hashes &= np.uint64((1 << inner) - 1)
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+            for s in range(0, len(starts), 512):
+                bounds = [*starts[s : s + 512], starts[s + 512] if s + 512 < len(starts) else len(hashes)]
+                rows = [
+                    {"bucket": int(bucket[i]), "hashes": squeeze(hashes[i:j]), "counts": counts[i:j].tobytes()}
+                    for i, j in zip(bounds, bounds[1:], strict=False)
+                ]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def total(table: pa.Table) -> pa.Table:
         hashes = np.concatenate([expand(x) for x in table.column("hashes").to_pylist()])
@@ -267,69 +313,75 @@ def frequent_hashes(
         part[(often >> np.uint64(width - bits)).astype(np.int64)] = 1
         return pa.table({"bucket": pa.array([number], pa.int64()), "bits": pa.array([np.packbits(part).tobytes()], pa.binary())})
 
-    sent = indexes.mapInArrow(count, "bucket long, hashes binary, counts binary")
+    sent = indexes.select("words", "of", "langs", "bwt").mapInArrow(count, "bucket long, hashes binary, counts binary")
     parts = sent.groupBy("bucket").applyInArrow(total, "bucket long, bits binary")
-    # All parts together are the bitmap, 2^bits / 8 bytes.
+    # All parts together are the bitmap, 2^bits / 8 bytes; one job makes them.
     out = np.zeros((1 << bits) // 8, np.uint8)
     width = len(out) >> buckets
-    for row in parts.toLocalIterator():
-        out[row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+    for batch in parts.toArrow().to_batches():
+        for number, part in zip(batch.column("bucket").to_pylist(), batch.column("bits"), strict=True):
+            out[number * width : (number + 1) * width] = np.frombuffer(part.as_buffer(), np.uint8)
     return out
 
 
-def named(indexes: DataFrame, marks: list[np.ndarray], bits: int, buckets: int, least: int) -> DataFrame:
+def named(indexes: DataFrame, marks: list[str], bits: int, buckets: int, least: int) -> DataFrame:
     """lang, k, phrase, f of all phrases of up to ``DEPTH`` words that occur ``least`` times; exact.
 
     A task adds up its shards and sends the phrases that the bitmaps leave, in order and compressed, in buckets by hash.
     """
-    shared = indexes.sparkSession.sparkContext.broadcast(marks)
     schema = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary())])
     names = ["lang", "bucket", "phrase", "f"]
 
-    def found(row: dict) -> Iterator[pa.Table]:
+    def found(row: dict, held: list[np.ndarray]) -> Iterator[pa.Table]:
         index, words, of = _load(row)
+        langs = pa.array(row["langs"], pa.string())
         for k in range(1, DEPTH + 1):
             if k > 1:
-                _deepen(index, [shared.value[k - 2]], bits)
-            ok = index.whole
-            if k <= len(shared.value):
-                at = (index.hash >> np.uint64(64 - bits)).astype(np.int64)
-                ok = ok & ((shared.value[k - 1][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
-            which = np.flatnonzero(ok)
-            symbols = index.words(index.low[which])
-            bucket = (index.hash[which] >> np.uint64(64 - buckets)).astype(np.int64) if buckets else np.zeros(len(which), np.int64)
-            phrases = pa.array([b" ".join([words[w] for w in x]) for x in symbols.tolist()], pa.binary())
-            langs = pa.array(row["langs"], pa.string()).take(pa.array(of[symbols[:, 0]]))
-            yield pa.table([langs, pa.array(bucket), phrases, pa.array(index.count[which])], names)
+                _deepen(index, [held[k - 2]], bits)
+            which = np.flatnonzero(index.whole & _seen(held[k - 1], index.hash, bits) if k <= len(held) else index.whole)
+            for i in range(0, len(which), NAMES):
+                own = which[i : i + NAMES]
+                symbols = index.words(index.low[own])
+                bucket = (index.hash[own] >> np.uint64(64 - buckets)).astype(np.int64) if buckets else np.zeros(len(own), np.int64)
+                phrases = pa.array([b" ".join([words[w] for w in x]) for x in symbols.tolist()], pa.binary())
+                count = pa.array(index.count[own].astype(np.int64))
+                yield pa.table([langs.take(pa.array(of[symbols[:, 0]])), pa.array(bucket), phrases, count], names)
+
+    def packed(table: pa.Table) -> Iterator[dict]:
+        table = table.group_by(names[:3]).aggregate([("f", "sum")])
+        table = table.sort_by([(c, "ascending") for c in names[:3]]).combine_chunks()
+        langs, phrases = table.column("lang").chunk(0), table.column("phrase").chunk(0)
+        bucket, f = table.column("bucket").to_numpy(), table.column("f_sum").to_numpy()
+        new = np.ones(len(bucket), bool)
+        new[1:] = pc.not_equal(langs[1:], langs[:-1]).to_numpy(zero_copy_only=False) | (bucket[1:] != bucket[:-1])
+        starts = np.flatnonzero(new).tolist()
+        for i, j in zip(starts, [*starts[1:], len(bucket)], strict=True):
+            # Words hold no line end.
+            yield {
+                "bucket": int(bucket[i]), "lang": langs[i].as_py(), "counts": zstandard.compress(f[i:j].tobytes()),
+                "phrases": zstandard.compress(b"\n".join(phrases[i:j].to_pylist())),
+            }
 
     def send(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        table = pa.concat_tables(held).group_by(names[:3]).aggregate([("f", "sum")])
-        table = table.sort_by([(c, "ascending") for c in names[:3]])
-        langs, bucket = table.column("lang").to_pylist(), table.column("bucket").to_numpy()
-        phrases, f = table.column("phrase").to_pylist(), table.column("f_sum").to_numpy()
-        new = [i for i in range(len(langs)) if not i or langs[i] != langs[i - 1] or bucket[i] != bucket[i - 1]]
-        for i, j in zip(new, [*new[1:], len(langs)], strict=True):
-            yield pa.RecordBatch.from_pylist(
-                [
-                    {
-                        "bucket": int(bucket[i]), "lang": langs[i],
-                        # Words hold no line end.
-                        "phrases": zstandard.compress(b"\n".join(phrases[i:j])), "counts": zstandard.compress(f[i:j].tobytes()),
-                    }
-                ],
-                schema=schema,
-            )
+        table = pa.concat_tables(held)
+        held.clear()
+        part = table.column("bucket").to_numpy() * PARTS >> buckets
+        for p in range(PARTS):
+            own = table.filter(pa.array(part == p))
+            if own.num_rows:
+                rows = packed(own)
+                while some := list(islice(rows, 256)):
+                    yield pa.RecordBatch.from_pylist(some, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                for table in found(row):
-                    held.append(table)
-                    n += table.num_rows
+        mapped, held, n = _marks(marks), [], 0
+        for row in _rows(batches):
+            for table in found(row, mapped):
+                held.append(table)
+                n += table.num_rows
                 if n >= GATHER:
                     yield from send(held)
-                    held, n = [], 0
+                    n = 0
         if n:
             yield from send(held)
 
@@ -344,7 +396,7 @@ def named(indexes: DataFrame, marks: list[np.ndarray], bits: int, buckets: int,
         k = pa.array([x.count(b" ") + 1 for x in phrases], pa.int32())
         return pa.table([lang, k, pa.array(phrases, pa.binary()), rows.column("f_sum")], ["lang", "k", "phrase", "f"])
 
-    sent = indexes.mapInArrow(run, "bucket long, lang string, phrases binary, counts binary")
+    sent = indexes.select("words", "of", "langs", "bwt").mapInArrow(run, "bucket long, lang string, phrases binary, counts binary")
     return sent.groupBy("bucket", "lang").applyInArrow(total, "lang string, k int, phrase binary, f long")
 
 
@@ -354,13 +406,12 @@ def totals(indexes: DataFrame) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                counts = np.bincount(np.frombuffer(row["bwt"], np.int32), minlength=len(row["of"]) // 4)
-                of = np.frombuffer(row["of"], np.int32)
-                n = np.zeros(len(row["langs"]), np.int64)
-                np.add.at(n, of[1:], counts[1:])
-                yield pa.RecordBatch.from_pydict({"lang": row["langs"], "n": n}, schema=schema)
+        for row in _rows(batches):
+            of = np.frombuffer(row["of"], np.int32)
+            counts = np.bincount(np.frombuffer(row["bwt"], np.int32), minlength=len(of))
+            n = np.zeros(len(row["langs"]), np.int64)
+            np.add.at(n, of[1:], counts[1:])
+            yield pa.RecordBatch.from_pydict({"lang": row["langs"], "n": n}, schema=schema)
 
     found = indexes.select("of", "langs", "bwt").mapInArrow(run, "lang string, n long")
     return found.groupBy("lang").agg(F.sum("n").alias("n"))
@@ -373,17 +424,17 @@ def count(df: DataFrame, text: str, lang: str, least: int = LEAST, shard: int =
     """(lang, k, phrase, f) of all phrases of up to four words with f >= ``least``, and (lang, n)."""
     spark = df.sparkSession
     path = new_table_path(spark, "indexes")
-    # Word ids and hashes don't shrink under a fast codec.
-    build(df, text, lang, shard).write.option("compression", "zstd").parquet(path)
+    # Word ids and hashes don't shrink under a fast codec. A shard is a row group: neither writer nor reader holds more.
+    build(df, text, lang, shard).write.options(**{"compression": "zstd", "parquet.block.row.count.limit": "1"}).parquet(path)
     indexes = spark.read.schema(INDEX).parquet(path)
     size = indexes.agg(F.sum("n_words")).first()[0] or 0
     bits = min(MAX_BITS, max(16, int(size // 8).bit_length()))
     wanted = max(parts_for(size, BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = min(bits - 3, (min(wanted, MAX_BUCKETS) - 1).bit_length())
     width = min(64, int(size).bit_length() + 10)
-    marks: list[np.ndarray] = []
+    marks: list[str] = []
     for _ in range(1, DEPTH):
-        marks.append(frequent_hashes(indexes, marks, bits, buckets, width, least))
+        marks.append(_send_mark(spark.sparkContext, frequent_hashes(indexes, marks, bits, buckets, width, least)))
     found = named(indexes, marks, bits, buckets, least)
     found = found.withColumn("phrase", F.col("phrase").cast("string"))
     return materialise(found, "phrases"), materialise(totals(indexes), "totals")

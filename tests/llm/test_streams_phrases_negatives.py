@@ -2,11 +2,13 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -161,6 +163,32 @@ def test_phrase_counts_equal_plain_counts(spark):
         assert {r["lang"]: r["n"] for r in n.collect() if r["n"]} == {k: v for k, v in sizes.items() if v}
 
 
+def test_a_shard_is_held_in_few_bytes_a_word():
+    n = 200_000
+    text = np.random.default_rng(6).integers(0, 300, n).astype(np.int32)
+    symbols, hashes = phrases.bwt(text), np.arange(300, dtype=np.uint64)
+    tracemalloc.start()
+    index = phrases.Index(symbols, hashes)
+    for _ in range(3):
+        index.extend(np.ones(len(index.low), bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(index.low) > 0.9 * n and peak < 80 * n
+
+
+def test_a_shard_is_a_row_group_and_phrases_leave_in_parts(spark, monkeypatch, tmp_path):
+    rng = random.Random(7)
+    data = [(" ".join(rng.choices("abcdefg", k=40)), rng.choice(["en", "fr"])) for _ in range(60)]
+    df = spark.createDataFrame(data, "text string, lang string").coalesce(1)
+    for name, value in (("GATHER", 40), ("NAMES", 7), ("new_table_path", lambda spark, name: f"{tmp_path}/{name}")):
+        monkeypatch.setattr(phrases, name, value, raising=False)
+    found, _ = phrases.count(df, "text", "lang", least=5, shard=300)
+    assert rows(found) == sorted((*g, f) for g, f in plain_counts(data)[0].items() if f >= 5)
+    meta = [pq.ParquetFile(f).metadata for f in tmp_path.glob("indexes/*.parquet")]
+    groups = [m.row_group(i).num_rows for m in meta for i in range(m.num_row_groups)]
+    assert len(groups) > 3 and set(groups) == {1}
+
+
 def test_scores_of_phrases(spark):
     # "p q" is within "p q r" four times in five; "s t" is cut in one way only.
     data = [("p q r. " * 40 + "p q. " * 10 + "s t. " * 30 + "s. " * 30, "en"), ("u v. " * 29, "en")]
