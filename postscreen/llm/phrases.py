@@ -50,7 +50,7 @@ LEAST, SCALE, INSIDE, TOP = 30, 2_000_000, 80, 2000
 BUCKET, MAX_BITS, MAX_BUCKETS = 2_000_000, 28, 1 << 20
 # Phrases that a task gathers before it sends them, added up in so many parts; those that are Python's at a time, and hashes
 # looked up at a time.
-GATHER, PARTS, NAMES, LOOKUP = 500_000, 8, 1 << 16, 1 << 18
+GATHER, PARTS, NAMES, LOOKUP = 1_000_000, 8, 1 << 16, 1 << 18
 UNKNOWN = "und"
 
 # Signs that end a piece become a line end, a tab becomes a blank.
@@ -342,10 +342,10 @@ def named(indexes: DataFrame, marks: list[str], bits: int, buckets: int, least:
             for i in range(0, len(which), NAMES):
                 own = which[i : i + NAMES]
                 symbols = index.words(index.low[own])
-                bucket = (index.hash[own] >> np.uint64(64 - buckets)).astype(np.int64) if buckets else np.zeros(len(own), np.int64)
+                bucket = (index.hash[own] >> np.uint64(64 - buckets)).astype(np.int32) if buckets else np.zeros(len(own), np.int32)
                 phrases = pa.array([b" ".join([words[w] for w in x]) for x in symbols.tolist()], pa.binary())
-                count = pa.array(index.count[own].astype(np.int64))
-                yield pa.table([langs.take(pa.array(of[symbols[:, 0]])), pa.array(bucket), phrases, count], names)
+                spoken = langs.take(pa.array(of[symbols[:, 0]]))
+                yield pa.table([spoken, pa.array(bucket), phrases, pa.array(index.count[own])], names)
 
     def packed(table: pa.Table) -> Iterator[dict]:
         table = table.group_by(names[:3]).aggregate([("f", "sum")])

@@ -141,3 +141,24 @@ def test_pairs_and_sums_of_the_descent_are_not_held_whole(spark, words, monkeypa
     assert np.abs(descent.x).max() < 1e-3 and len(descent.pairs.known) == folded.HISTORY
     assert not any(isinstance(v, np.ndarray) for v in vars(descent.pairs).values())
     assert len(list(tmp_path.iterdir())) == 2 * folded.HISTORY
+
+
+def test_a_descent_holds_no_vector_between_its_steps(tmp_path):
+    descent = folded._Descent(np.ones(40), 200, 1e-15, str(tmp_path))
+    scale = np.arange(1.0, 41.0)
+    for _ in range(3):
+        x = descent.trial
+        descent.seen(float(scale @ (x * x)) / 2, scale * x)
+        assert not any(isinstance(v, np.ndarray) for v in [*vars(descent).values(), *vars(descent.kept).values()])
+
+
+def test_sums_come_in_blocks_and_unused_features_take_no_place(spark, words, monkeypatch):
+    rows = folded.hashed_counts(words, "text", 1 << 12, True, y=F.col("y").cast("double"), w=F.lit(1.0), fold=F.col("k") % 3)
+    rows = rows.filter("fold is not null").cache()
+    whole, seen, add = folded._fit(rows, 3, 1 << 12, True, 1e-3, 20, 1e-9), set(), folded._Pairs.add
+    monkeypatch.setattr(folded, "BLOCK", 5, raising=False)
+    monkeypatch.setattr(folded._Pairs, "add", lambda self, moved, *more: (seen.add(len(moved)), add(self, moved, *more)))
+    blocks = folded._fit(rows, 3, 1 << 12, True, 1e-3, 20, 1e-9)
+    assert all(np.allclose(a.weights, b.weights) and abs(a.intercept - b.intercept) < 1e-9 for a, b in zip(whole, blocks, strict=True))
+    known = {i for r in rows.select("at").collect() for i in r["at"]}
+    assert seen and max(seen) <= len(known) + 1
